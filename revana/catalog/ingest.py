@@ -10,6 +10,7 @@ from revana.functions.scores import comment_class
 from revana.functions.text import letter_tokens
 from revana.operators.dedup import dedup_first
 from revana.operators.terms import word_frequency
+from revana.operators.tokens import word_rows
 from revana.sources.pages import CALLBACK, as_pages, parse_comment_pages
 from revana.sources.stopwords import load_stopwords
 from revana.sources.tables import (default_score, read_comments, read_table, write_comments,
@@ -93,7 +94,7 @@ FROM words GROUP BY lang, word"""))
 def sheet_files(spark, sf):
     """One folder per sheet, here one sheet of word counts per language."""
     path = run_dir(spark, "sheets")
-    counts = (deduplicated_tokens(spark, sf).select("lang", F.explode("tokens").alias("word"))
+    counts = (word_rows(deduplicated_tokens(spark, sf), "lang")
               .groupBy(F.concat(F.lit("Words_"), "lang").alias("sheet"), "word")
               .agg(F.count(F.lit(1)).alias("n")))
     write_sheets(counts, path)

@@ -7,7 +7,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
 from revana.catalog.base import query, r6, scored_reviews, tokens
-from revana.catalog.survey import TARGET, split
+from revana.catalog.survey import TARGET, stored_split
 from revana.catalog.topics import KEYWORDS, NEGATIVE, POSITIVE
 from revana.functions.scores import BAD, GOOD, comment_class
 from revana.functions.wordlists import DEFAULT
@@ -64,7 +64,7 @@ def lda_sweep(spark, sf):
 
 def _prepared(spark, sf):
     """Training and test rows ready for the feature stages."""
-    rows = materialise(split(spark, sf), "survey")
+    rows = stored_split(spark, sf)
     train = rows.filter("not is_test").drop("is_test")
     built, ready = features.build_features(train, exclude=("doc_id", TARGET))
     test = features.prepare_text(rows.filter("is_test").drop("is_test"), ["lang", "source"])

@@ -9,7 +9,7 @@ from revana.catalog.base import documents, query, r6, sql, table
 from revana.functions.text import letter_tokens
 from revana.operators import attribution, features, survey, tuning
 from revana.sources.tables import write_records
-from revana.workspace import run_dir
+from revana.workspace import materialise, run_dir
 
 TARGET = "willing"
 
@@ -30,6 +30,11 @@ def split(spark, sf):
     return survey.split_exact(labelled(spark, sf), "doc_id")
 
 
+def stored_split(spark, sf):
+    """For fitting, which reads the rows several times."""
+    return materialise(split(spark, sf), "survey")
+
+
 _SURVEY = r"""survey AS (SELECT doc_id, n_chars,
     len(regexp_extract_all(lower(text), '\p{L}+')) AS n_words, lang, source,
     CASE WHEN quality = 1 THEN 1 ELSE 0 END AS willing
@@ -129,7 +134,7 @@ def stratified_folds(spark, sf):
   round(mc, 6) AS median_chars, round(mw, 6) AS median_words FROM split, stats"""))
 def scaled_numbers(spark, sf):
     """Fitted on the training rows, applied to all."""
-    df = split(spark, sf)
+    df = stored_split(spark, sf)
     model = features.MedianScaler(inputCols=["n_chars", "n_words"]).fit(df.filter("not is_test"))
     median = {c: m for c, m, *_ in model.columns}
     return model.transform(df).select(
@@ -144,7 +149,7 @@ def scaled_numbers(spark, sf):
 def one_hot_ones(spark, sf):
     """The ones of the fitted encoder, named from the vector's own metadata."""
 
-    df = split(spark, sf)
+    df = stored_split(spark, sf)
     model, _ = features.fit_features(
         df.filter("not is_test").select("doc_id", "lang", "source"), exclude=("doc_id",))
     coded = model.transform(features.prepare_text(df, ["lang", "source"]))
@@ -165,7 +170,7 @@ def one_hot_rows(spark, sf):
   UNION ALL SELECT DISTINCT 'source_' || source, 3 FROM train)""",
            "SELECT CAST(row_number() OVER (ORDER BY g, feature) - 1 AS INTEGER) AS idx, feature FROM names"))
 def feature_names(spark, sf):
-    train = split(spark, sf).filter("not is_test").drop("is_test")
+    train = stored_split(spark, sf).filter("not is_test").drop("is_test")
     _, ready = features.fit_features(train, exclude=("doc_id", TARGET))
     return spark.createDataFrame(list(enumerate(features.feature_names(ready))),
                                  "idx int, feature string")

@@ -24,6 +24,12 @@ def _frequency(spark, sf, stop=True):
     return terms.word_frequency(deduplicated_tokens(spark, sf, stop))
 
 
+def _stored(spark, sf):
+    """For reports that read the tokens more than once."""
+    return materialise(deduplicated_tokens(spark, sf, stop=True).select("doc_id", "tokens"),
+                       "tokens")
+
+
 @query(sql(*_STOPPED, """SELECT (SELECT count(*) FROM dedup) AS n_reviews,
   (SELECT count(*) FROM kept) AS n_tokens"""))
 def corpus_counts(spark, sf):
@@ -92,7 +98,7 @@ def bag_of_word_ids(spark, sf):
 @query(sql(*_STOPPED, _TOP30, """SELECT doc_id, word FROM
 (SELECT DISTINCT doc_id, word FROM kept) WHERE word IN (SELECT word FROM top30)"""))
 def top_words_per_review(spark, sf):
-    tokens = deduplicated_tokens(spark, sf, stop=True)
+    tokens = _stored(spark, sf)
     top = terms.top_words(terms.meaningful(terms.word_frequency(tokens)))
     return terms.only_words(distinct_words(tokens), top)
 
@@ -107,6 +113,6 @@ def graph_nodes(spark, sf):
   2 * count(*) AS weight, count(*) AS n_docs
 FROM uniq a JOIN uniq b ON a.doc_id = b.doc_id AND a.word < b.word GROUP BY a.word, b.word"""))
 def graph_edges(spark, sf):
-    tokens = deduplicated_tokens(spark, sf, stop=True)
+    tokens = _stored(spark, sf)
     frequency = terms.meaningful(terms.word_frequency(tokens))
     return terms.cooccurrence_edges(tokens, frequency)

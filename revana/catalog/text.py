@@ -8,7 +8,7 @@ from revana.catalog.base import (BASE, STOP_LIST, deduplicated_tokens,
                                  documents, query, r6, sql, table)
 from revana.functions.scores import sharpen, to_number
 from revana.functions.text import join_tokens, keep_script, or_missing, strip_controls
-from revana.operators.tokens import tokenize
+from revana.operators.tokens import tokenize, word_rows
 from revana.sources.stopwords import as_stopwords
 
 # Letter groups frequent in the test texts, as a lexicon.
@@ -64,7 +64,7 @@ def script_bigrams(spark, sf):
     """The n-gram tokenizer with the Latin script in place of Han."""
     df = tokenize(documents(spark, sf).withColumn("text", F.lower("text")), "text", "ngram",
                   char_class="a-z")
-    return (df.select("doc_id", F.explode("tokens").alias("gram"))
+    return (word_rows(df, "doc_id").withColumnRenamed("word", "gram")
             .groupBy("doc_id", "gram").agg(F.count(F.lit(1)).alias("n")))
 
 

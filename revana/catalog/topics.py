@@ -10,6 +10,7 @@ from revana.catalog.base import BASE, STOPS, WORDS, query, r6, scored_reviews, s
 from revana.functions.scores import BAD, GOOD, comment_class
 from revana.functions.wordlists import DEFAULT
 from revana.operators import topics
+from revana.operators.tokens import word_rows
 from revana.sources.stopwords import as_stopwords
 from revana.sources.topics import (read_topic_document, topic_strings, topic_word_lists,
                                    write_topic_document)
@@ -24,9 +25,8 @@ _LANGS = ("de", "en", "es", "fr")
 def _rows(spark, sf):
     cls = F.when(F.col("score") == 5, POSITIVE).when(F.col("score") < 3, NEGATIVE)
     topic = F.array_position(F.array(*[F.lit(x) for x in _LANGS]), F.col("lang")) - 1
-    return (tokens(scored_reviews(spark, sf).filter("score = 5 or score < 3"))
-            .select(cls.alias("cls"), topic.cast("int").alias("topic"),
-                    F.explode("tokens").alias("word")))
+    return word_rows(tokens(scored_reviews(spark, sf).filter("score = 5 or score < 3")),
+                     cls.alias("cls"), topic.cast("int").alias("topic"))
 
 
 def terms(spark, sf, n=50):

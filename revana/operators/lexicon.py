@@ -6,23 +6,62 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from revana.functions.text import windows
 
-_BLOCK = 128
+INLINE_WORDS = 20_000
 
 
 def lexicon_tokens(df: DataFrame, lexicon: DataFrame, col: str = "content",
                    id_col: str = "doc_id", out: str = "tokens",
-                   max_len: int | None = None) -> DataFrame:
+                   inline_words: int = INLINE_WORDS) -> DataFrame:
     """Cut each text from left to right, at every place into the longest lexicon
     word that starts there, or else into a single character.
 
-    Substrings of up to ``max_len`` characters (the longest lexicon word unless
-    given) are matched by a join, so the lexicon may have any size. What stays
-    per document is the walk over its matches.
+    Each character is given a code for the length of the longest word that
+    starts at it. Cutting is then one regular expression over the coded text: a
+    code of n takes n characters. A lexicon of up to ``inline_words`` words
+    becomes a hash set that is probed in place, without a shuffle; a larger one
+    is joined to the substrings of the texts.
     """
     words = lexicon.select(F.col("word").alias("_w")).filter(F.length("_w") > 1).distinct()
-    if max_len is None:
-        max_len = words.agg(F.max(F.length("_w"))).first()[0] or 1
-    hits = (df.select(id_col, F.posexplode(windows(F.col(col), max_len)).alias("_pos", "_win"))
+    max_len = words.agg(F.max(F.length("_w"))).first()[0] or 1
+    some = [r[0] for r in words.limit(inline_words + 1).collect()]
+    if len(some) <= inline_words:
+        coded = df.withColumn("_coded", _probe(F.col(col), some))
+    else:
+        coded = (df.join(_match(df, words, max_len, col, id_col), id_col, "left")
+                 .withColumn("_chars", F.regexp_extract_all(
+                     F.coalesce(F.col(col), F.lit("")), F.lit("(?s)."), F.lit(0)))
+                 .withColumn("_coded", _code_matches(max_len)).drop("_hits", "_chars"))
+    return coded.withColumn(out, _cut(F.col("_coded"), max_len)).drop("_coded")
+
+
+def _code(n: int) -> str:
+    return chr(0x100 + n)
+
+
+def _cut(coded: Column, max_len: int) -> Column:
+    one_of = "|".join(f"\\x{{{0x100 + n:x}}}.(?:..){{{n - 1}}}" for n in range(1, max_len + 1))
+    pieces = F.regexp_extract_all(coded, F.lit(f"(?s){one_of}"), F.lit(0))
+    return F.transform(pieces, lambda p: F.when(F.length(p) == 2, F.substring(p, 2, 1)).otherwise(
+        F.regexp_replace(p, "(?s).(.)", "$1")))
+
+
+def _probe(text: Column, words: list[str]) -> Column:
+    by_len: dict[int, list[str]] = {}
+    for w in words:
+        by_len.setdefault(len(w), []).append(w)
+
+    def coded(window):
+        code = F.lit(_code(1))
+        for n in sorted(by_len):
+            code = F.when(F.substring(window, 1, n).isin(by_len[n]), _code(n)).otherwise(code)
+        return F.concat(code, F.substring(window, 1, 1))
+
+    return F.array_join(F.transform(windows(text, max(by_len, default=1)), coded), "")
+
+
+def _match(df: DataFrame, words: DataFrame, max_len: int, col: str, id_col: str) -> DataFrame:
+    """Matches (position, length) of each document, the longest per position."""
+    return (df.select(id_col, F.posexplode_outer(windows(F.col(col), max_len)).alias("_pos", "_win"))
             .filter(F.length("_win") > 1)
             .select(id_col, "_pos", "_win",
                     F.explode(F.sequence(F.lit(2), F.length("_win"))).alias("_len"))
@@ -31,52 +70,21 @@ def lexicon_tokens(df: DataFrame, lexicon: DataFrame, col: str = "content",
             .groupBy(id_col, "_pos").agg(F.max("_len").alias("_len"))
             .groupBy(id_col)
             .agg(F.sort_array(F.collect_list(F.struct("_pos", "_len"))).alias("_hits")))
-    text = F.coalesce(F.col(col), F.lit(""))
-    return (df.join(hits, id_col, "left")
-            .withColumn("_cuts", _walk(F.col("_hits")))
-            .withColumn("_chars", F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)))
-            .withColumn(out, _pieces())
-            .drop("_hits", "_cuts", "_chars"))
 
 
-def _walk(hits: Column) -> Column:
-    """The matches that the walk takes: those starting at or after its place.
+def _code_matches(max_len: int) -> Column:
+    """Coded text: from each match to the next, the first character has the
+    length of the match and the others stand alone."""
+    chars = F.col("_chars")
+    codes = F.lit("".join(map(_code, range(1, max_len + 1))))
+    hits = F.concat(F.array(F.struct(F.lit(0).alias("_pos"), F.lit(1).alias("_len"))), F.coalesce(
+        F.col("_hits"), F.array().cast("array<struct<_pos:int,_len:int>>")))
+    nexts = F.concat(F.transform(F.slice(hits, 2, F.size(hits)), lambda h: h["_pos"]),
+                     F.array(F.size(chars)))
 
-    Folded in blocks, since appending to one array for the whole document would
-    copy that array at every step.
-    """
-    n_blocks = F.ceil(F.size(hits) / F.lit(_BLOCK)).cast("int")
-    empty = F.array().cast("array<struct<_pos:int,_len:int>>")
-
-    def take(state, hit):
-        return F.when(
-            hit["_pos"] >= state["at"],
-            F.struct((hit["_pos"] + hit["_len"]).alias("at"),
-                     F.concat(state["got"], F.array(hit)).alias("got"))).otherwise(state)
-
-    def block(state, i):
-        part = F.slice(hits, i * _BLOCK + 1, F.lit(_BLOCK))
-        inner = F.aggregate(
-            part, F.struct(state["at"].alias("at"), empty.alias("got")), take)
-        return F.struct(inner["at"].alias("at"),
-                        F.concat(state["got"], inner["got"]).alias("got"))
-
-    start = F.struct(F.lit(0).alias("at"), empty.alias("got"))
-    folded = F.aggregate(F.sequence(F.lit(0), n_blocks - 1), start, block)["got"]
-    return F.when(F.size(F.coalesce(hits, empty)) > 0, folded).otherwise(empty)
-
-
-def _pieces() -> Column:
-    """Taken words, and the single characters before, between and after them."""
-    cuts, chars = F.col("_cuts"), F.col("_chars")
-
-    def piece(cut, i):
-        before = F.when(i == 0, F.lit(0)).otherwise(
-            F.get(cuts, i - 1)["_pos"] + F.get(cuts, i - 1)["_len"])
-        word = F.array_join(F.slice(chars, cut["_pos"] + 1, cut["_len"]), "")
-        return F.concat(F.slice(chars, before + 1, cut["_pos"] - before), F.array(word))
-
-    last = F.element_at(cuts, -1)
-    tail = F.slice(chars, last["_pos"] + last["_len"] + 1, F.size(chars))
-    return F.when(F.size(cuts) == 0, chars).otherwise(
-        F.concat(F.flatten(F.transform(cuts, piece)), tail))
+    def segment(h):
+        part = F.slice(chars, h["h"]["_pos"] + 1, h["n"] - h["h"]["_pos"])
+        code = codes.substr(h["h"]["_len"], F.lit(1))
+        return F.when(F.size(part) > 0, F.concat(code, F.array_join(part, _code(1)))).otherwise("")
+
+    return F.array_join(F.transform(F.arrays_zip(hits.alias("h"), nexts.alias("n")), segment), "")

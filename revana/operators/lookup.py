@@ -4,26 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 1_000_000
+BROADCAST_CHARS = 32_000_000
 
 
 def word_lookup(facts: DataFrame, table: DataFrame, key: str = "word",
-                weight: str | None = None, limit: int = BROADCAST_ROWS) -> list[DataFrame]:
+                weight: str = "n", limit: int = BROADCAST_ROWS) -> list[DataFrame]:
     """Inner join of ``facts`` with ``table`` (unique ``key``), as disjoint parts
     for the caller to aggregate and union.
 
-    A table of at most ``limit`` rows is broadcast, and the facts are not
-    shuffled. Of a larger one only the ``limit`` rows with the largest
-    ``weight`` are broadcast. They are the hot keys, so what remains for the
-    shuffle join is both smaller and even. No row is left out.
+    A table of at most ``limit`` rows and ``BROADCAST_CHARS`` characters is
+    broadcast, and the facts are not shuffled. Of a larger one only the words
+    with the largest ``weight`` are broadcast. They are the hot keys, so what
+    remains for the shuffle join is both smaller and even. No row is left out.
 
-    ``table`` should be a written table: its rows are counted here.
+    ``table`` should be a written table: it is measured here.
     """
-    if table.limit(limit + 1).count() <= limit:
+    rows, chars = table.agg(F.count(F.lit(1)), F.sum(F.length(key))).first()
+    if rows <= limit and (chars or 0) <= BROADCAST_CHARS:
         return [facts.join(F.broadcast(table), key)]
-    if weight is None:
-        return [facts.join(table, key)]
-    head = table.orderBy(F.desc(weight), key).limit(limit)
+    longest = BROADCAST_CHARS // limit
+    head = (table.filter(F.length(key) <= longest)
+            .orderBy(F.desc(weight), key).limit(limit))
     tail = table.join(F.broadcast(head.select(key)), key, "left_anti")
     rest = facts.join(F.broadcast(head.select(key)), key, "left_anti")
     return [facts.join(F.broadcast(head), key), rest.join(tail, key)]

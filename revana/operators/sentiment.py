@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from revana.functions.scores import sentiment_score
 from revana.operators.lookup import BROADCAST_ROWS, union_all, word_lookup
+from revana.operators.tokens import word_rows
 from revana.workspace import materialise
 
 
@@ -29,7 +30,7 @@ def fit_naive_bayes(train: DataFrame, label: str = "label", tokens: str = "token
     shared folder, since every scored document is joined to it.
     """
     train = train.filter(F.col(label).isin(0, 1))
-    counts = (train.select(label, F.explode(tokens).alias("word"))
+    counts = (word_rows(train, label, tokens=tokens)
               .groupBy("word")
               .agg(F.count_if(F.col(label) == 1).alias("pos"),
                    F.count_if(F.col(label) == 0).alias("neg")))
@@ -60,7 +61,7 @@ def score_sentiment(df: DataFrame, model: NaiveBayes, keep: Sequence[str] = ("co
     token scores ``blank``.
     """
     keep = list(keep)
-    facts = df.select(*keep, F.explode(tokens).alias("word"))
+    facts = word_rows(df, *keep, tokens=tokens)
     parts = word_lookup(facts, model.words, weight="n", limit=broadcast_rows)
     sums = union_all([p.groupBy(*keep).agg(F.sum("log_odds").alias("x")) for p in parts]
                      + [df.select(*keep, F.when(F.size(tokens) > 0, 0.0).alias("x"))])

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from revana.operators.tokens import word_rows
+
 MAX_GRAPH_WORDS = 1_000
 
 
@@ -15,7 +17,7 @@ def corpus_counts(df: DataFrame, tokens: str = "tokens") -> DataFrame:
 def word_frequency(df: DataFrame, tokens: str = "tokens") -> DataFrame:
     """Count of each word. Counted before the shuffle, so frequent words are
     cheap. Unordered; see ``ordered``."""
-    return (df.select(F.explode(tokens).alias("word"))
+    return (word_rows(df, tokens=tokens)
             .groupBy("word").agg(F.count(F.lit(1)).alias("n")))
 
 
