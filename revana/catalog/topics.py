@@ -14,19 +14,19 @@ from revana.operators.tokens import word_rows
 from revana.sources.stopwords import as_stopwords
 from revana.sources.topics import (read_topic_document, topic_strings, topic_word_lists,
                                    write_topic_document)
-from revana.workspace import run_dir
+from revana.workspace import materialise, run_dir
 
 # Class keys of the topic documents.
 POSITIVE, NEGATIVE = "positive_reviews_lda", "negative_reviews_lda"
 KEYWORDS = {POSITIVE: "positive_comments_topics", NEGATIVE: "negative_comments_topics"}
 _LANGS = ("de", "en", "es", "fr")
+_CLASSES = {POSITIVE: "score = 5", NEGATIVE: "score < 3"}
 
 
 def _rows(spark, sf):
-    cls = F.when(F.col("score") == 5, POSITIVE).when(F.col("score") < 3, NEGATIVE)
     topic = F.array_position(F.array(*[F.lit(x) for x in _LANGS]), F.col("lang")) - 1
-    return word_rows(tokens(scored_reviews(spark, sf).filter("score = 5 or score < 3")),
-                     cls.alias("cls"), topic.cast("int").alias("topic"))
+    return word_rows(tokens(topics.label_classes(scored_reviews(spark, sf), _CLASSES)),
+                     "cls", topic.cast("int").alias("topic"))
 
 
 def terms(spark, sf, n=50):
@@ -67,17 +67,14 @@ def _select(name):
 def split_by_class(spark, sf):
     df = scored_reviews(spark, sf).select(
         "comment_id", "content", comment_class(F.col("score")).alias("comment_type"))
-    good, bad = df.filter(F.col("comment_type") == GOOD), df.filter(F.col("comment_type") == BAD)
-    return good.unionByName(bad)
+    return df.filter(F.col("comment_type").isin(GOOD, BAD))
 
 
 @query(sql(*BASE[:2], f"""SELECT comment_id, content, '{POSITIVE}' AS cls FROM dedup WHERE score = 5
 UNION ALL SELECT comment_id, content, '{NEGATIVE}' FROM dedup WHERE score < 3"""))
 def split_by_score(spark, sf):
-    df = scored_reviews(spark, sf)
-    keep = ["comment_id", "content"]
-    return topics.stack_classes(**{POSITIVE: df.filter("score = 5").select(keep),
-                                   NEGATIVE: df.filter("score < 3").select(keep)})
+    return topics.label_classes(scored_reviews(spark, sf), _CLASSES).select(
+        "comment_id", "content", "cls")
 
 
 @query(sql(*_TERMS, _select("top50")))
@@ -128,6 +125,14 @@ def topic_word_weights(spark, sf):
     return _short(topics.topic_weight_by_word(parsed_topics(spark, sf)))
 
 
+@query(sql(*_TERMS, _select("top50")))
+def stacked_topics(spark, sf):
+    """Two tables, one per class, put under each other."""
+    stored = materialise(terms(spark, sf), "topic-terms")
+    return _short(topics.stack_classes(**{
+        c: stored.filter(F.col("cls") == c).drop("cls") for c in (POSITIVE, NEGATIVE)}))
+
+
 @query(sql(*_TERMS, """SELECT cls, word, round(sum(weight), 6) AS weight FROM top50 GROUP BY cls, word"""))
 def topic_word_weights_shared(spark, sf):
     """The same over lists in which words repeat between topics."""

@@ -92,20 +92,24 @@ def classification_report(df: DataFrame, true: str = "true_label", pred: str = "
                      F.col("precision") + F.col("recall")), F.lit(0.0))))
     values = ["precision", "recall", "f1"]
     total = F.sum("support")
-    averages = per_label.agg(
-        (F.sum("tp") / total).alias("acc"), total.alias("total"),
-        *[F.avg(v).alias(f"m_{v}") for v in values],
-        *[(F.sum(F.col(v) * F.col("support")) / total).alias(f"w_{v}") for v in values])
 
     def row(label, p, r, f, s):
-        return F.struct(F.lit(label).alias("label"), F.col(p).alias("precision"),
-                        F.col(r).alias("recall"), F.col(f).alias("f1"), F.col(s).alias("support"))
-
-    summary = averages.select(F.inline(F.array(
-        row("accuracy", "acc", "acc", "acc", "acc"),
-        row("macro avg", "m_precision", "m_recall", "m_f1", "total"),
-        row("weighted avg", "w_precision", "w_recall", "w_f1", "total"))))
-    return per_label.select("label", *values, "support").unionByName(summary)
+        return F.struct(label.alias("label"), p.alias("precision"), r.alias("recall"),
+                        f.alias("f1"), s.alias("support"))
+
+    def averages(label, mean):
+        return row(F.lit(label), *[mean(F.col(v)) for v in values], total)
+
+    acc = F.sum("tp") / total
+    # As many rows as labels, so they fit one array next to their averages.
+    whole = per_label.agg(
+        F.collect_list(row(F.col("label"), *[F.col(v) for v in values], F.col("support")))
+        .alias("labels"),
+        F.array(row(F.lit("accuracy"), acc, acc, acc, acc),
+                averages("macro avg", F.avg),
+                averages("weighted avg", lambda v: F.sum(v * F.col("support")) / total))
+        .alias("summary"))
+    return whole.select(F.inline(F.concat("labels", "summary")))
 
 
 def _ratio(top: str, bottom: str):

@@ -28,6 +28,11 @@ def column_profile(df: DataFrame) -> DataFrame:
                  F.col(f"n{i}").alias("non_null")) for i, f in enumerate(df.schema.fields)])))
 
 
+def preview(df: DataFrame, n: int = 5) -> DataFrame:
+    """A few rows to look at. For value ranges use ``df.summary()``."""
+    return df.limit(n)
+
+
 def drop_all_null(df: DataFrame) -> DataFrame:
     """Drop the columns without any value."""
     empty = [r["column"] for r in column_profile(df).filter("non_null = 0").collect()]

@@ -79,6 +79,15 @@ def topic_weight_by_word(terms: DataFrame) -> DataFrame:
     return terms.groupBy("cls", "word").agg(F.sum("weight").alias("weight"))
 
 
+def label_classes(df: DataFrame, classes: dict[str, str]) -> DataFrame:
+    """Rows that meet one of the SQL conditions, under a ``cls`` column: several
+    filters and their union in a single pass. The first condition met counts."""
+    cls = F.lit(None).cast("string")
+    for name, condition in reversed(classes.items()):
+        cls = F.when(F.expr(condition), name).otherwise(cls)
+    return df.withColumn("cls", cls).filter(F.col("cls").isNotNull())
+
+
 def stack_classes(**tables: DataFrame) -> DataFrame:
     """Union of tables under a ``cls`` column holding their argument names."""
     parts = [t.withColumn("cls", F.lit(name)) for name, t in tables.items()]
