@@ -15,7 +15,7 @@ from revana.operators import attribution, evaluation, features, lda, survey, top
 from revana.operators.lookup import union_all
 from revana.operators.tokens import tokenize
 from revana.sources.stopwords import as_stopwords
-from revana.workspace import materialise
+from revana.workspace import materialise, pack
 
 
 @query()
@@ -74,7 +74,7 @@ def _prepared(spark, sf):
 def _network(spark, sf, hidden=tuning.HIDDEN[0]):
     built, train, test = _prepared(spark, sf)
     stages = built.stages + [tuning.mlp(built.width, hidden, TARGET)]
-    return Pipeline(stages=stages).fit(train), test
+    return Pipeline(stages=stages).fit(pack(train)), test
 
 
 @query()

@@ -176,13 +176,13 @@ def feature_names(spark, sf):
                                  "idx int, feature string")
 
 
-@query(sql(_SURVEY, """cells AS (SELECT lang AS cell, doc_id % 5 AS fold, avg(willing) AS accuracy
-  FROM survey GROUP BY lang, doc_id % 5)""",
+@query(sql(_SURVEY, """cells AS (SELECT lang AS cell, source AS fold, avg(willing) AS accuracy
+  FROM survey GROUP BY lang, source)""",
            """SELECT cell, round(avg(accuracy), 6) AS mean_accuracy FROM cells GROUP BY cell
 ORDER BY avg(accuracy) DESC, cell LIMIT 1"""))
 def best_cell(spark, sf):
-    """Fold accuracies of always answering yes, per language as grid cell."""
-    cells = (labelled(spark, sf).groupBy(F.col("lang").alias("cell"), (F.col("doc_id") % 5).alias("fold"))
+    """Accuracies of always answering yes: languages as cells, sources as folds."""
+    cells = (labelled(spark, sf).groupBy(F.col("lang").alias("cell"), F.col("source").alias("fold"))
              .agg(F.avg(TARGET).alias("accuracy")))
     return tuning.best_cell(cells).withColumn("mean_accuracy", r6("mean_accuracy"))
 

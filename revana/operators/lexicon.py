@@ -67,6 +67,7 @@ def _match(df: DataFrame, words: DataFrame, max_len: int, col: str, id_col: str)
                     F.explode(F.sequence(F.lit(2), F.length("_win"))).alias("_len"))
             .select(id_col, "_pos", "_len", F.expr("substr(_win, 1, _len)").alias("_w"))
             .join(words, "_w", "left_semi")
+            .repartition(id_col)
             .groupBy(id_col, "_pos").agg(F.max("_len").alias("_len"))
             .groupBy(id_col)
             .agg(F.sort_array(F.collect_list(F.struct("_pos", "_len"))).alias("_hits")))

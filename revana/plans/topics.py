@@ -47,7 +47,7 @@ def write_keyword_topics(comments: DataFrame, stop: DataFrame, path: str, **opti
 
 
 def topic_count_sweep(comments: DataFrame, ks: Iterable[int] = range(2, 11), passes: int = 10,
-                      seed: int = 42, parallelism: int = 4, **options) -> DataFrame:
+                      seed: int = 42, parallelism: int = 8, **options) -> DataFrame:
     corpora = comment_corpora(comments, **options)
     table = lda.sweep_topics(corpora, ks, passes, seed, parallelism)
     for corpus in corpora.values():

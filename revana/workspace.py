@@ -37,6 +37,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def pack(table: DataFrame, rows_per_task: int = 10_000) -> DataFrame:
+    """Fewer partitions for a small table that an iterative fit reads hundreds
+    of times, each time waiting for all its tasks. Pass a written table; a large
+    one keeps its partitions."""
+    wanted = max(1, -(-table.count() // rows_per_task))
+    return table.coalesce(wanted) if wanted < table.rdd.getNumPartitions() else table
+
+
 def spread(scan: DataFrame, key: str) -> DataFrame:
     """Hash a scan that has fewer splits than the cluster has cores.
 
