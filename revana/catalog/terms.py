@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from revana.catalog.base import (BASE, COUNTED, FREQ, STOPS, WORDS, deduplicated_tokens, query, r6,
                                  sql)

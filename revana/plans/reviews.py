@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from revana.functions.text import HAN, keep_script
+from revana.functions.text import keep_script
 from revana.operators import evaluation, lda, sentiment, terms, topics
 from revana.operators.dedup import dedup_first
 from revana.operators.lookup import union_all
@@ -85,8 +85,8 @@ def review_study(reviews: DataFrame, stop: DataFrame | Iterable[str] = (),
                  gap: str = "", keep: Iterable[str] = (), **tokenizer) -> ReviewStudy:
     """Deduplicate, clean, tokenise and drop stop words, once.
 
-    ``script`` keeps only that character class before tokenising (``HAN`` for
-    Chinese, with ``mode="lexicon"`` or ``"ngram"``); ``gap`` replaces what it
+    ``script`` keeps only that character class before tokenising
+    (``functions.text.HAN`` for Chinese, with ``mode="lexicon"`` or ``"ngram"``); ``gap`` replaces what it
     drops. The token table is written to the shared folder.
     """
     reviews = default_score(reviews)
@@ -98,6 +98,3 @@ def review_study(reviews: DataFrame, stop: DataFrame | Iterable[str] = (),
     cols = list(dict.fromkeys(["comment_id", "score", order, *keep, "tokens"]))
     return ReviewStudy(reviews.select("comment_id", "score"),
                        materialise(rows.select(cols), "tokens"), order)
-
-
-__all__ = ["HAN", "ReviewStudy", "review_study"]
