@@ -193,3 +193,23 @@ def components(edges: DataFrame) -> DataFrame:
         state = materialise(
             state.join(hooks.select(F.col("node").alias("root"), "to"), "root", "left")
             .select("node", F.coalesce("to", "root").alias("root")), "roots")
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The runs of equal ``keys`` in sorted rows. For groups of bounded size only."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = list(zip(*(field(batch, k).to_pylist() for k in keys)))
+        start = 0
+        for i, value in enumerate(values):
+            if value != last:
+                if i > start:
+                    held.append(batch.slice(start, i - start))
+                if held:
+                    yield pa.Table.from_batches(held)
+                held, start, last = [], i, value
+        held.append(batch.slice(start))
+    if held:
+        yield pa.Table.from_batches(held)

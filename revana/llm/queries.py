@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from revana.llm import chat, fingerprints, language_id, licenses, mixing, near_dedup, packing, quality
+from revana.llm import (chat, embedding_dedup, fingerprints, language_id, licenses, mixing, near_dedup, packing,
+                        quality, suffix_dedup)
 from revana.llm.common import is_row, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +134,15 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, w.doc_id = compon
 FROM w LEFT JOIN n USING (doc_id) JOIN reach ON reach.a = w.doc_id""")
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = suffix_dedup.remove_repeats(docs)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query()
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
