@@ -5,15 +5,16 @@ bins. In each of the first ``COORDINATES`` rounds every shingle is hashed to one
 bin; in as many further rounds all shingles go to one fixed bin each. A bin keeps
 the smallest (round, hash). So every bin fills, whatever the size of the set, and
 the share of equal bins of two sketches is concentrated around the Jaccard index
-of the sets.
+of the sets. The first ``BANDS * ROWS`` bins make the bands.
 
 Equal sets are one class; only one document per class goes on. Documents with an
 equal band of ``ROWS`` bins are candidates. A pair at the threshold of 0.8 shares
 no band with probability (1 - 0.8^4)^32 < 5e-8. Candidates are confirmed on their
 full sets. A bucket of candidates is not expanded to pairs: each member is first
-compared with the bucket's smallest, then with its largest member; members that
-are then connected need no more comparing, and only pairs that still lie in
-different components are compared one by one, so no connection is lost.
+compared with the smallest member it shares a bucket with; those that stay apart
+from a bucket's pivot, another member for every band, are then compared with these
+pivots. Members that are now connected need no more comparing, and only pairs that
+still lie in different components are compared one by one, so no connection is lost.
 """
 
 from __future__ import annotations
@@ -25,16 +26,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from revana.llm.common import WHITE, Rolling, components, field, lower_ascii, mix, slices, utf8, word_spans
+from revana.llm.common import WHITE, Rolling, components, field, groups, lower_ascii, mix, slices, utf8, word_spans
 from revana.workspace import materialise
 
-COORDINATES, ROWS = 128, 4
-BANDS = COORDINATES // ROWS
+COORDINATES, ROWS, BANDS = 512, 4, 32
 SHINGLE, PERCENT = 4, 80
-# Bins that must agree before full sets are compared. At the threshold 102 of 128
-# agree on average with a standard deviation below 4.6, so 64 is over 8 of them away.
-AGREE = 64
+# Bins that must agree before full sets are compared. At the threshold 410 of 512
+# agree on average with a standard deviation of 9, so 364 is five of them away.
+AGREE = 364
 PER_GROUP = 500             # candidates that are compared with one copy of a set
+TILE = 1_000                # members of a bucket that one task compares with those apart
 
 
 def shingle_sets(texts: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -78,7 +79,7 @@ def sketch(sets: np.ndarray, offsets: np.ndarray, bins: int = COORDINATES) -> np
             break
         h = mix(x ^ mix(np.full(1, r + 1, np.uint64)))
         to = (h & np.uint64(bins - 1)).astype(np.int64) if r < bins else np.full(len(x), r - bins)
-        np.minimum.at(flat, row * bins + to, np.uint64(r << 56) | (h >> np.uint64(8)))
+        np.minimum.at(flat, row * bins + to, np.uint64(r << 54) | (h >> np.uint64(10)))
         open_ = (out == empty).any(axis=1)
         if not open_[row[0]] or not open_.all():
             keep = open_[row]
@@ -90,7 +91,7 @@ def _band_keys(sketches: np.ndarray) -> np.ndarray:
     n = len(sketches)
     keys = mix(np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (n, BANDS)).copy())
     for k in range(ROWS):
-        keys = mix(keys * np.uint64(0xC2B2AE3D27D4EB4F) + sketches.reshape(n, BANDS, ROWS)[:, :, k])
+        keys = mix(keys * np.uint64(0xC2B2AE3D27D4EB4F) + sketches[:, :BANDS * ROWS].reshape(n, BANDS, ROWS)[:, :, k])
     return keys
 
 
@@ -134,7 +135,7 @@ def _plausible(pairs: DataFrame, info: DataFrame) -> DataFrame:
     return sized.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def verify(docs: DataFrame, pairs: DataFrame, id_col: str) -> DataFrame:
+def verify(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets meet the threshold.
 
     The set of ``a`` is sent once per ``PER_GROUP`` partners, those of the
@@ -144,8 +145,8 @@ def verify(docs: DataFrame, pairs: DataFrame, id_col: str) -> DataFrame:
     roles = (grouped.select(F.col("b").alias("doc"), F.col("a").alias("grp"), "salt", F.lit(1).alias("role"))
              .unionByName(grouped.select(F.col("a").alias("doc"), F.col("a").alias("grp"), "salt",
                                          F.lit(0).alias("role")).distinct()))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), "text")
-    rows = texts.join(roles, "doc")
+    # Merged by shuffle at every size, so that the cost per row does not depend on it.
+    rows = texts.join(roles.hint("merge"), "doc")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -195,40 +196,44 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
         sketches.join(chosen.withColumnRenamed("rep", id_col), [*key, id_col])
         .select(F.col(id_col).cast("long").alias("rep"), "n_shingles", "bands", "bins"), "info")
     banded = info.select("rep", F.explode("bands").alias("band"))
-    ends = banded.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high")
+    # A pivot per band by a hash that differs from band to band.
+    ends = (banded.groupBy("band").agg(
+        F.min("rep").alias("low"), F.max("rep").alias("high"),
+        F.min_by("rep", F.xxhash64("rep", "band")).alias("pivot"))
+        .filter("low < high").drop("high"))
     members = materialise(banded.join(ends, "band").distinct(), "members")
     slim = info.select("rep", "n_shingles", "bins")
+    wanted = members.select(F.col("rep").alias("doc")).distinct().hint("merge")
+    texts = materialise(docs.select(F.col(id_col).cast("long").alias("doc"), "text")
+                        .join(wanted, "doc", "left_semi"), "candidates")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         plausible = _plausible(pairs, slim)
         sizes = plausible.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-        return materialise(verify(docs, materialise(plausible.join(sizes, "a"), "pairs"), id_col), "links")
+        return materialise(verify(texts, materialise(plausible.join(sizes, "a"), "pairs")), "links")
 
     def roots(links: list[DataFrame]) -> DataFrame:
         return components(reduce(DataFrame.union, links))
 
-    none = docs.sparkSession.createDataFrame([], "node long, root long")
     found: list[DataFrame] = []
     tried: list[DataFrame] = []
-    state = none
-    for end in ("low", "high"):
-        pairs = (_labelled(members, state).filter("root <> low_root" if end == "low" else "root <> high_root")
-                 .groupBy(F.col("rep").alias("b")).agg((F.min if end == "low" else F.max)(end).alias("a"))
-                 .select("a", "b").filter("a <> b"))
-        tried.append(materialise(pairs, "tried"))
-        found.append(confirmed(tried[-1]))
-        state = roots(found)
-    # What a bucket still holds apart: members outside its smallest member's
-    # component, against all members of other components.
+    first = members.groupBy(F.col("rep").alias("b")).agg(F.min("low").alias("a")).filter("a <> b").select("a", "b")
+    tried.append(materialise(first, "tried"))
+    found.append(confirmed(tried[-1]))
+    state = roots(found)
+    second = _labelled(members, state).filter("root <> pivot_root").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
+    tried.append(materialise(_ordered(second.distinct()).join(_ordered(tried[0]), ["a", "b"], "left_anti"), "tried"))
+    found.append(confirmed(tried[-1]))
+    state = roots(found)
+    # What a bucket still holds apart: members outside its pivot's component,
+    # against all members of other components.
     labelled = _labelled(members, state)
-    apart = materialise(labelled.filter("root <> low_root").select("band", "rep", "root"), "apart")
+    apart = materialise(labelled.filter("root <> pivot_root").select("band", "rep", "root"), "apart")
     if not apart.isEmpty():
-        others = labelled.join(apart.select("band").distinct(), "band").select(
-            "band", F.col("rep").alias("other"), F.col("root").alias("other_root"))
-        left = (apart.join(others, "band").filter("root <> other_root")
-                .select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct())
-        seen = reduce(DataFrame.union, tried).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        found.append(confirmed(left.join(seen, ["a", "b"], "left_anti")))
+        left = _ordered(_apart_pairs(labelled, apart, slim)).distinct()
+        seen = _ordered(reduce(DataFrame.union, tried))
+        left = left.join(seen, ["a", "b"], "left_anti")
+        found.append(confirmed(left))
         state = roots(found)
     labels = (classes.join(state.withColumnRenamed("node", "rep"), "rep", "left")
               .select(*key, F.coalesce("root", "rep").alias("_component")))
@@ -238,10 +243,49 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
                          F.col(id_col).cast("long").eqNullSafe(component).alias("kept"))
 
 
+def _apart_pairs(labelled: DataFrame, apart: DataFrame, info: DataFrame) -> DataFrame:
+    """Pairs (a, b) of one bucket but two components whose sizes and bins allow the
+    threshold; a is apart from the bucket's pivot.
+
+    A bucket is cut into tiles, and those apart go to each tile. Comparing is
+    done on the bins inside the tasks; only what passes becomes a row.
+    """
+    tiles = labelled.groupBy("band").agg(
+        F.ceil(F.count(F.lit(1)) / TILE).alias("tiles")).join(apart.select("band").distinct(), "band")
+    every = labelled.join(tiles, "band").select(
+        "band", F.pmod(F.xxhash64("rep"), F.col("tiles")).alias("tile"), "rep", "root", F.lit(1).alias("role"))
+    alone = apart.join(tiles, "band").select(
+        "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("tile"), "rep", "root",
+        F.lit(0).alias("role"))
+    keys = ["band", "tile"]
+    rows = every.unionByName(alone).join(info, "rep").select(*keys, "role", "rep", "root", "n_shingles", "bins")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(batches, keys):
+            role, rep, root, size = (np.asarray(group[c]) for c in ("role", "rep", "root", "n_shingles"))
+            bins = np.frombuffer(b"".join(group["bins"].to_pylist()), np.uint8).reshape(-1, COORDINATES)
+            there = np.flatnonzero(role == 1)
+            found = []
+            for i in np.flatnonzero(role == 0):
+                fit = there[(root[there] != root[i])
+                            & (100 * np.minimum(size[there], size[i]) >= PERCENT * np.maximum(size[there], size[i]))]
+                near = fit[(bins[fit] == bins[i]).sum(axis=1) >= AGREE]
+                if len(near):
+                    found.append((np.full(len(near), rep[i]), rep[near]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["a", "b"])
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def _labelled(members: DataFrame, state: DataFrame) -> DataFrame:
-    """``members`` with the component of the member and of the bucket's two ends."""
+    """``members`` with the component of the member and of the bucket's pivot."""
     out = members
-    for column, name in (("rep", "root"), ("low", "low_root"), ("high", "high_root")):
+    for column, name in (("rep", "root"), ("pivot", "pivot_root")):
         out = (out.join(state.select(F.col("node").alias(column), F.col("root").alias(name)), column, "left")
                .withColumn(name, F.coalesce(name, column)))
     return out
