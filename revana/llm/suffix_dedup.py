@@ -29,7 +29,7 @@ from revana.llm.common import Rolling, field, mix, slices, utf8
 from revana.workspace import materialise
 
 LENGTH = 200
-GRAM = 50
+GRAM = 100
 WINDOW = LENGTH - GRAM + 1      # grams in one string
 BEFORE = LENGTH - GRAM          # bytes a string can reach before its anchor
 PIECE = 2 << 20                 # bytes of a long text handled in one step
