@@ -32,7 +32,7 @@ CAPACITY = 2048
 UNIT = 4
 END_ID = 1
 GAP = 1e-3                  # the program is solved to this relative gap,
-ROUNDS = 400                # or for so many pricing rounds
+ROUNDS = 60                 # or for so many pricing rounds
 PIVOTS = 24                 # of at most so many new patterns each
 PER_BUCKET = 20_000         # rows a ranking window holds on average
 SPECIAL = "<|endoftext|>"
@@ -205,8 +205,8 @@ def solve(units: np.ndarray, demand: np.ndarray, room: int, gap: float = GAP) ->
 
     for _ in range(ROUNDS if n else 0):
         prices = cost @ inverse
-        for i in np.flatnonzero(prices < -1e-7):
-            if (cost @ inverse)[i] < -1e-7:
+        for i in np.argsort(prices, kind="stable")[:PIVOTS]:
+            if prices[i] < -1e-7 and cost @ inverse[:, i] < -1e-7:
                 pivot(-np.eye(1, n, i)[0], Counter(), 0.0)
         prices = np.maximum(cost @ inverse, 0)
         worth, found = price_patterns(prices, units, room, PIVOTS)
