@@ -67,6 +67,11 @@ def scored_reviews(spark: SparkSession, sf: str) -> DataFrame:
         raw_score().alias("score")))
 
 
+def all_reviews(spark: SparkSession, sf: str) -> DataFrame:
+    """Every review, repeated texts included, a missing score counted as 0."""
+    return default_score(reviews(spark, sf).withColumnRenamed("score_raw", "score"))
+
+
 def tokens(df: DataFrame, stop: bool = False) -> DataFrame:
     out = tokenize(df).drop("content")
     return remove_stopwords(out, DEFAULT) if stop else out

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
-from revana.catalog.base import query, r6, scored_reviews, tokens
+from revana.catalog.base import all_reviews, query, r6, scored_reviews, tokens
 from revana.catalog.survey import TARGET, stored_split
 from revana.catalog.topics import KEYWORDS, NEGATIVE, POSITIVE
 from revana.functions.scores import BAD, GOOD, comment_class
@@ -32,8 +32,8 @@ def lda_topics(spark, sf):
 
 
 def _classes(spark, sf):
-    """Raw tokens of good and bad comments, nothing removed."""
-    docs = tokenize(scored_reviews(spark, sf), mode="raw").select(
+    """Raw tokens of all good and bad comments, case kept, nothing removed."""
+    docs = tokenize(all_reviews(spark, sf), mode="raw", lower=False).select(
         "doc_id", "tokens", comment_class(F.col("score")).alias("comment_type"))
     docs = materialise(docs, "raw-tokens")
     return {KEYWORDS[POSITIVE]: docs.filter(F.col("comment_type") == GOOD),

@@ -18,7 +18,7 @@ def scored(spark, sf):
     docs = materialise(tokens(scored_reviews(spark, sf), stop=True)
                        .select("comment_id", "doc_id", "score", "quality", "tokens"), "tokens")
     model = fit_naive_bayes(docs, "quality")
-    return score_sentiment(docs, model, keep=["comment_id", "score"])
+    return score_sentiment(docs, model, keep=["doc_id", "comment_id", "score"]).drop("doc_id")
 
 
 def _truth(spark, sf):

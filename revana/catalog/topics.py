@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from revana.catalog.base import BASE, STOPS, WORDS, query, r6, scored_reviews, sql, tokens
+from revana.catalog.base import BASE, STOPS, WORDS, all_reviews, query, r6, scored_reviews, sql, tokens
 from revana.functions.scores import BAD, GOOD, comment_class
 from revana.functions.wordlists import DEFAULT
 from revana.operators import topics
@@ -61,11 +61,11 @@ def _select(name):
   round(weight, 6) AS weight FROM {name}"""
 
 
-@query(sql(*BASE[:2], """SELECT comment_id, content, comment_type FROM (SELECT *,
-  CASE WHEN score >= 4 THEN '好评' WHEN score = 3 THEN '中评' ELSE '差评' END AS comment_type
-  FROM dedup) WHERE comment_type <> '中评'"""))
+@query(sql(BASE[0], """SELECT comment_id, content, comment_type FROM (SELECT *,
+  CASE WHEN score_raw >= 4 THEN '好评' WHEN score_raw = 3 THEN '中评' ELSE '差评' END AS comment_type
+  FROM reviews) WHERE comment_type <> '中评'"""))
 def split_by_class(spark, sf):
-    df = scored_reviews(spark, sf).select(
+    df = all_reviews(spark, sf).select(
         "comment_id", "content", comment_class(F.col("score")).alias("comment_type"))
     return df.filter(F.col("comment_type").isin(GOOD, BAD))
 

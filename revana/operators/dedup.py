@@ -8,18 +8,21 @@ from pyspark.sql import DataFrame, functions as F
 def dedup_first(df: DataFrame, key: str = "content", order: str = "doc_id") -> DataFrame:
     """Keep, per value of ``key``, the row with the smallest ``order``.
 
-    Nulls count as one value. ``order`` must be unique; without such a column
-    "first" has no meaning on distributed data.
+    Nulls count as one value. A null ``order`` comes after all others. Rows that
+    share both value and order are ties, of which one is kept, so every value
+    keeps exactly one row.
 
     The survivors are found on (digest, order) alone: the minimum is combined
     before the shuffle, so a text copied into a third of all rows sends one
-    narrow row per task. The full rows then meet the survivors on the unique
-    ``order``, which has no hot value, and keep that partitioning for later
-    joins and groupings on it.
+    narrow row per task. The full rows then meet the survivors on (digest, order),
+    which has no hot value unless rows repeat in both.
     """
     if order not in df.columns:
         raise ValueError(f"dedup_first needs an order column, {order!r} is absent")
     digest = F.coalesce(F.sha2(F.col(key).cast("string"), 256), F.lit("null"))
     first = (df.select(digest.alias("_digest"), F.col(order).alias("_first"))
-             .groupBy("_digest").agg(F.min("_first").alias("_first")).select("_first"))
-    return df.join(first, df[order] == first["_first"], "left_semi")
+             .groupBy("_digest").agg(F.min("_first").alias("_first")))
+    marked = df.withColumn("_digest", digest)
+    kept = marked.join(first, (marked["_digest"] == first["_digest"])
+                       & marked[order].eqNullSafe(first["_first"]), "left_semi")
+    return kept.dropDuplicates(["_digest", order]).drop("_digest")

@@ -7,6 +7,8 @@ over a small, even share of the rows gives the rest.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
@@ -14,6 +16,11 @@ def seeded_hash(seed, id_col: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
 
 
+def prefix_digits(rows: int, per_window: int = 20_000) -> int:
+    """Hex digits that leave about ``per_window`` of so many rows to a prefix."""
+    return max(1, math.ceil(math.log(max(1, rows) / per_window, 16))) if rows > per_window else 1
+
+
 def hash_rank(df: DataFrame, hashed: Column, id_col: str, by: tuple[str, ...] = (),
               digits: int = 3, out: str = "rank") -> DataFrame:
     """1-based rank of each row by (hash, id), separately per value of ``by``.

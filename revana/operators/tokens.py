@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from revana.functions import text as T
 from revana.operators.lexicon import lexicon_tokens
 from revana.operators.lookup import union_all, word_lookup
-from revana.operators.ranking import hash_rank
+from revana.operators.ranking import hash_rank, prefix_digits
 from revana.workspace import materialise
 
 INLINE_STOPWORDS = 10_000
@@ -59,7 +59,8 @@ def remove_stopwords(df: DataFrame, stop: DataFrame | Iterable[str], tokens: str
 
     A list of up to ``INLINE_STOPWORDS`` words becomes a hash-set test inside
     the array filter. A longer one is an anti-join on token rows, after which
-    each document is put together again.
+    each document is put together again; documents are told apart by id and
+    tokens. Either way null tokens go, a null array stays null, and no row merges.
     """
     if isinstance(stop, DataFrame):
         words = [r[0] for r in stop.select("word").limit(INLINE_STOPWORDS + 1).collect()]
@@ -69,17 +70,19 @@ def remove_stopwords(df: DataFrame, stop: DataFrame | Iterable[str], tokens: str
             stop = df.sparkSession.createDataFrame([(w,) for w in words], "word string")
     if len(words) <= INLINE_STOPWORDS:
         words = [w for w in words if w is not None]
-        if not words:
-            return df
-        return df.withColumn(tokens, F.filter(tokens, lambda w: ~w.isin(words)))
-    kept = (df.select(id_col, F.posexplode_outer(tokens).alias("_pos", "word"))
+        return df.withColumn(tokens, F.filter(tokens, lambda w: w.isNotNull() & ~w.isin(words)))
+    marked = df.withColumn("_id", F.xxhash64(id_col, F.lit(1), tokens)).withColumn("_id2", F.xxhash64(F.lit(2), id_col, tokens))
+    keys = ["_id", "_id2"]
+    kept = (marked.select(*keys, tokens).dropDuplicates(keys)
+            .select(*keys, F.posexplode_outer(tokens).alias("_pos", "word"))
             .filter(F.col("word").isNotNull())
             .join(stop.select("word").distinct(), "word", "left_anti")
-            .groupBy(id_col)
+            .groupBy(*keys)
             .agg(F.sort_array(F.collect_list(F.struct("_pos", "word"))).alias("_kept")))
-    return (df.drop(tokens).join(kept, id_col, "left")
-            .withColumn(tokens, F.coalesce(F.col("_kept.word"), F.array().cast("array<string>")))
-            .drop("_kept"))
+    empty = F.when(F.col(tokens).isNotNull(), F.array().cast("array<string>"))
+    return (marked.join(kept, keys, "left")
+            .withColumn(tokens, F.coalesce(F.col("_kept.word"), empty))
+            .drop("_kept", *keys))
 
 
 def drop_stop_rows(rows: DataFrame, stop: DataFrame, word: str = "word") -> DataFrame:
@@ -113,7 +116,7 @@ def vocabulary(df: DataFrame, tokens: str = "tokens") -> DataFrame:
     """
     words = materialise(word_rows(df, tokens=tokens)
                         .groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
-    return (hash_rank(words, F.md5("word"), "word")
+    return (hash_rank(words, F.md5("word"), "word", digits=prefix_digits(words.count()))
             .select((F.col("rank") - 1).alias("word_id"), "word", "n"))
 
 

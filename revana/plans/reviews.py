@@ -48,7 +48,7 @@ class ReviewStudy:
         return terms.cooccurrence_edges(self.tokens, terms.meaningful(self.frequency()), k)
 
     def sentiment(self, model: sentiment.NaiveBayes, gamma: float = 0.5) -> DataFrame:
-        return sentiment.score_sentiment(self.tokens, model, ["comment_id", "score"], gamma=gamma)
+        return sentiment.score_sentiment(self.tokens, model, list(dict.fromkeys([self.order, "comment_id", "score"])), gamma=gamma)
 
     def label_pairs(self, scored: DataFrame) -> DataFrame:
         return evaluation.label_pair_counts(self.reviews, scored)

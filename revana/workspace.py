@@ -13,13 +13,16 @@ _local_base: str | None = None
 def run_dir(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder all executors share.
 
-    The cluster names that folder in ``spark.checkpoint.dir``; only where it is
-    unset (tests, local mode) a temporary folder is used instead.
+    The cluster names that folder in ``spark.checkpoint.dir``. Only a local
+    master may leave it unset, as tests do, and then gets a temporary folder;
+    elsewhere each executor would write to a disk of its own.
     """
     global _local_base
     base = (spark.conf.get("spark.checkpoint.dir", None)
             or spark.sparkContext.getConf().get("spark.checkpoint.dir"))
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if _local_base is None:
             _local_base = tempfile.mkdtemp(prefix="revana-")
         base = _local_base
