@@ -207,8 +207,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     texts = materialise(docs.select(F.col(id_col).cast("long").alias("doc"), "text")
                         .join(wanted, "doc", "left_semi"), "candidates")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        plausible = _plausible(pairs, slim)
+    def confirmed(plausible: DataFrame) -> DataFrame:
+        plausible = materialise(plausible, "plausible")
         sizes = plausible.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
         return materialise(verify(texts, materialise(plausible.join(sizes, "a"), "pairs")), "links")
 
@@ -219,11 +219,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     tried: list[DataFrame] = []
     first = members.groupBy(F.col("rep").alias("b")).agg(F.min("low").alias("a")).filter("a <> b").select("a", "b")
     tried.append(materialise(first, "tried"))
-    found.append(confirmed(tried[-1]))
+    found.append(confirmed(_plausible(tried[-1], slim)))
     state = roots(found)
     second = _labelled(members, state).filter("root <> pivot_root").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
     tried.append(materialise(_ordered(second.distinct()).join(_ordered(tried[0]), ["a", "b"], "left_anti"), "tried"))
-    found.append(confirmed(tried[-1]))
+    found.append(confirmed(_plausible(tried[-1], slim)))
     state = roots(found)
     # What a bucket still holds apart: members outside its pivot's component,
     # against all members of other components.
