@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
-from revana.catalog.base import all_reviews, query, r6, scored_reviews, tokens
-from revana.catalog.survey import TARGET, stored_split
+from revana.catalog.base import all_reviews, query, r6, scored_reviews, sql, tokens
+from revana.catalog.survey import _SPLIT, _SURVEY, _TRAIN, TARGET, stored_split
 from revana.catalog.topics import KEYWORDS, NEGATIVE, POSITIVE
 from revana.functions.scores import BAD, GOOD, comment_class
 from revana.functions.wordlists import DEFAULT
@@ -94,6 +94,23 @@ def network_parameters(spark, sf):
     return tuning.layer_sheets(tuning.layer_params(spark, tuning.final_network(model)))
 
 
+@query(sql(_SURVEY, _SPLIT, _TRAIN, """widths AS (
+  SELECT 2 + count(DISTINCT lang) + count(DISTINCT source) AS w FROM train)""",
+           """SELECT 1 AS layer, 'weight' AS kind, 50 * w AS n FROM widths
+UNION ALL SELECT 1, 'bias', 50 UNION ALL SELECT 2, 'weight', 50 * 25 UNION ALL SELECT 2, 'bias', 25
+UNION ALL SELECT 3, 'weight', 25 * 2 UNION ALL SELECT 3, 'bias', 2"""))
+def network_shape(spark, sf):
+    """Number of exported parameters of each layer."""
+    return network_parameters(spark, sf).groupBy("layer", "kind").agg(F.count("value").alias("n"))
+
+
+@query(sql(_SURVEY, _SPLIT, """SELECT CAST(willing AS VARCHAR) AS label, CAST(count(*) AS DOUBLE) AS support
+FROM split WHERE is_test GROUP BY willing"""))
+def network_support(spark, sf):
+    """Test rows of each label in the network's report."""
+    return network_report(spark, sf).filter("label IN ('0', '1')").select("label", "support")
+
+
 @query()
 def grid_search(spark, sf):
     """Mean accuracy of every candidate over five stratified folds."""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from revana.catalog.base import (BASE, STOPS, query, r6, reviews, scored_reviews, sql, tokens)
 from revana.functions.scores import predicted_label, true_label
-from revana.operators import evaluation
+from revana.operators import evaluation, survey
 from revana.operators.sentiment import (fit_naive_bayes, in_bucket, score_sentiment,
                                         sentiment_distribution)
 from revana.sources.tables import default_score
@@ -59,6 +59,43 @@ def sentiment_scores(spark, sf):
                                     r6("sentiment_score").alias("sentiment_score"))
 
 
+def _halves(spark, sf):
+    """Tokens of the deduplicated reviews with the exact split."""
+    docs = tokens(scored_reviews(spark, sf), stop=True)
+    docs = docs.select("comment_id", "doc_id", "score", "quality", "tokens")
+    return materialise(survey.split_exact(docs, "doc_id"), "split-tokens")
+
+
+_HELD_OUT = [*BASE, STOPS,
+             """split AS (SELECT *, row_number() OVER (ORDER BY md5(concat('42:', doc_id)), doc_id)
+    <= ceil(0.2 * count(*) OVER ()) AS is_test FROM toks)""",
+             """kept AS (SELECT comment_id, quality, is_test, word FROM (
+  SELECT comment_id, quality, is_test, unnest(tokens) AS word FROM split)
+  WHERE word NOT IN (SELECT word FROM stops))""",
+             """counts AS (SELECT word, count(*) FILTER (WHERE quality = 1) AS pos,
+  count(*) FILTER (WHERE quality = 0) AS neg FROM kept WHERE quality IN (0, 1) AND NOT is_test GROUP BY word)""",
+             "totals AS (SELECT sum(pos) AS tp, sum(neg) AS tn, count(*) AS v FROM counts)",
+             """odds AS (SELECT word, ln((pos + 1) / (tp + v)) - ln((neg + 1) / (tn + v)) AS log_odds
+  FROM counts, totals)""",
+             """prior AS (SELECT ln((count(*) FILTER (WHERE quality = 1) + 1)
+  / (count(*) FILTER (WHERE quality = 0) + 1)) AS p FROM split WHERE NOT is_test)""",
+             """sums AS (SELECT comment_id, coalesce(sum(log_odds), 0) AS x
+  FROM kept LEFT JOIN odds USING (word) WHERE is_test GROUP BY comment_id)"""]
+
+
+@query(sql(*_HELD_OUT, """SELECT quality, count(*) AS n, count(*) FILTER (WHERE (x + p > 0) = (quality = 1)) AS correct
+FROM split JOIN sums USING (comment_id), prior WHERE is_test AND quality IN (0, 1) GROUP BY quality"""))
+def sentiment_held_out(spark, sf):
+    """Labelled test reviews with words, and how many fall on the side of their
+    label, by a model that was fitted on the training reviews only."""
+    docs = _halves(spark, sf)
+    model = fit_naive_bayes(docs.filter("not is_test"), "quality")
+    found = score_sentiment(docs.filter("is_test"), model, keep=["doc_id", "quality"])
+    right = (F.col("raw") > 0.5) == (F.col("quality") == 1)
+    return (found.filter("raw IS NOT NULL AND quality IN (0, 1)").groupBy("quality")
+            .agg(F.count(F.lit(1)).alias("n"), F.count_if(right).alias("correct")))
+
+
 @query(sql(*_NB, """SELECT bucket, n, round(100.0 * n / sum(n) OVER (), 2) AS percent FROM (
   SELECT 'positive' AS bucket, count(*) FILTER (WHERE s > 0.6) AS n FROM scored UNION ALL
   SELECT 'neutral', count(*) FILTER (WHERE s BETWEEN 0.4 AND 0.6) FROM scored UNION ALL

@@ -108,6 +108,13 @@ def column_profile(spark, sf):
         .select("doc_id", "quality", "toxic", "lang"))
 
 
+@query(sql(_SURVEY, "SELECT doc_id, n_chars, CAST(n_words AS INTEGER) AS n_words, lang, source, willing "
+           "FROM survey ORDER BY doc_id LIMIT 5"))
+def survey_preview(spark, sf):
+    """The first rows by id."""
+    return survey.preview(labelled(spark, sf), order="doc_id")
+
+
 @query(sql(_SURVEY, _SPLIT, "SELECT doc_id, is_test FROM split"))
 def exact_split(spark, sf):
     return split(spark, sf).select("doc_id", "is_test")

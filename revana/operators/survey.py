@@ -28,9 +28,10 @@ def column_profile(df: DataFrame) -> DataFrame:
                  F.col(f"n{i}").alias("non_null")) for i, f in enumerate(df.schema.fields)])))
 
 
-def preview(df: DataFrame, n: int = 5) -> DataFrame:
-    """A few rows to look at. For value ranges use ``df.summary()``."""
-    return df.limit(n)
+def preview(df: DataFrame, n: int = 5, order: str | None = None) -> DataFrame:
+    """A few rows to look at, the first by ``order`` if given, else any. For
+    value ranges use ``df.summary()``."""
+    return (df.orderBy(_c(order)) if order else df).limit(n)
 
 
 def drop_all_null(df: DataFrame) -> DataFrame:

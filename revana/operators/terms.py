@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from revana.operators.tokens import word_rows
 
-MAX_GRAPH_WORDS = 1_000
-
 
 def corpus_counts(df: DataFrame, tokens: str = "tokens") -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_reviews"),
@@ -63,7 +61,7 @@ def cooccurrence_edges(df: DataFrame, frequency: DataFrame, k: int = 30,
     ``n_docs`` is the number of documents holding both words. ``weight`` is
     twice that, since both orders of a pair are counted.
     """
-    return word_pairs(df, _word_array(top_words(frequency, k), k), tokens).select(
+    return word_pairs(df, _word_array(top_words(frequency, k)), tokens).select(
         "src", "dst", (2 * F.col("n_docs")).alias("weight"), "n_docs")
 
 
@@ -83,7 +81,5 @@ def word_pairs(df: DataFrame, words: Column, tokens: str = "tokens") -> DataFram
             .groupBy("src", "dst").agg(F.sum("n").alias("n_docs")))
 
 
-def _word_array(words: DataFrame, k: int) -> Column:
-    if k > MAX_GRAPH_WORDS:
-        raise ValueError(f"a word graph has at most {MAX_GRAPH_WORDS} nodes, not {k}")
+def _word_array(words: DataFrame) -> Column:
     return words.agg(F.sort_array(F.collect_list("word"))).scalar()

@@ -24,6 +24,7 @@ class SurveyStudy:
     target: str
     id_col: str
     seed: int
+    train: DataFrame
 
     @property
     def spark(self) -> SparkSession:
@@ -42,10 +43,9 @@ class SurveyStudy:
     def accuracy(self) -> DataFrame:
         return evaluation.accuracy(self.predictions(), self.target, "prediction")
 
-    def parameters(self) -> DataFrame | None:
-        """Layer parameters, if the best candidate is a network."""
-        network = tuning.final_network(self.model)
-        return None if network is None else tuning.layer_params(self.spark, network)
+    def parameters(self) -> DataFrame:
+        """Layer parameters of the best network, whatever candidate won the search."""
+        return tuning.layer_params(self.spark, tuning.best_network(self.search, self.train))
 
     def attribution(self, n_explained: int = 10, n_background: int = 100,
                     permutations: int = 2) -> DataFrame:
@@ -65,8 +65,7 @@ class SurveyStudy:
         summary = materialise(self.attribution(), "attribution")
         write_table(attribution.by_importance(summary), f"{folder}/attribution")
         write_records(attribution.by_importance(summary), f"{folder}/attribution_records")
-        if (params := self.parameters()) is not None:
-            write_sheets(tuning.layer_sheets(params), f"{folder}/parameters")
+        write_sheets(tuning.layer_sheets(self.parameters()), f"{folder}/parameters")
 
 
 def survey_study(data: DataFrame, target: str, id_col: str, positive: str = survey.WILLING,
@@ -85,4 +84,4 @@ def survey_study(data: DataFrame, target: str, id_col: str, positive: str = surv
         survey.stratified_folds(ready, target, id_col, num_folds, seed), "folds")
     found = tuning.tune(folds, built, target, num_folds=num_folds, seed=seed, **search)
     test = features.prepare_text(rows.filter("is_test").drop("is_test"), text)
-    return SurveyStudy(found, found.bestModel, test, target, id_col, seed)
+    return SurveyStudy(found, found.bestModel, test, target, id_col, seed, folds)
