@@ -99,8 +99,12 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 # ---- suffix arrays ------------------------------------------------------------------
 
-def suffix_array(data: bytes, depth: int = LENGTH) -> np.ndarray:
-    """Suffixes of ``data`` in order of their first ``depth`` bytes, by two-stage sorting."""
+def suffix_array(data: bytes, depth: int = LENGTH, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Suffixes of ``data`` in order of their first ``depth`` bytes, by two-stage sorting.
+
+    With ``wanted`` (a mask of starts) only those and the ones they are induced
+    from: a falling suffix needs its successors up to the next rising one.
+    """
     n = len(data)
     t = np.frombuffer(data, np.uint8)
     # A suffix is smaller than its successor if its first differing byte is:
@@ -110,7 +114,13 @@ def suffix_array(data: bytes, depth: int = LENGTH) -> np.ndarray:
     nearest = np.searchsorted(differs, np.arange(n))
     known = nearest < len(differs)
     rises[known] = (t[:-1] < t[1:])[differs[nearest[known]]]
-    direct = sorted(np.flatnonzero(rises).tolist(), key=lambda i: data[i:i + depth])
+    needed = np.ones(n, bool)
+    if wanted is not None and n:
+        risers = np.append(np.flatnonzero(rises), n - 1)
+        asked = np.flatnonzero(wanted)
+        ends = risers[np.searchsorted(risers[:-1], asked)] + 1
+        needed = np.cumsum(np.bincount(asked, minlength=n + 1) - np.bincount(ends, minlength=n + 1))[:n] > 0
+    direct = sorted(np.flatnonzero(rises & needed).tolist(), key=lambda i: data[i:i + depth])
     direct = np.array(direct, np.int64)
     direct_at = np.searchsorted(t[direct], np.arange(257))
 
@@ -118,7 +128,7 @@ def suffix_array(data: bytes, depth: int = LENGTH) -> np.ndarray:
 
     def induce(scanned: np.ndarray) -> None:
         before = scanned[scanned > 0] - 1
-        before = before[~rises[before]]
+        before = before[~rises[before] & needed[before]]
         heads = t[before]
         order = np.argsort(heads, kind="stable")
         before, heads = before[order], heads[order]
@@ -127,7 +137,7 @@ def suffix_array(data: bytes, depth: int = LENGTH) -> np.ndarray:
             waiting[heads[a]].append(before[a:b])
 
     out: list[np.ndarray] = []
-    if n:
+    if n and needed[-1]:
         waiting[t[-1]].append(np.array([n - 1]))        # the last suffix is first in its bucket
     for c in range(256):
         # Falling suffixes come before rising ones in a bucket; scanning them adds
@@ -145,11 +155,11 @@ def suffix_array(data: bytes, depth: int = LENGTH) -> np.ndarray:
 
 
 def common_prefix(t: np.ndarray, a: np.ndarray, b: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Whether ``t`` has the same ``length`` bytes from each of ``a`` and ``b``; all must fit."""
+    """Whether ``t`` has the same ``length`` (at least 8) bytes from each of ``a`` and ``b``; all must fit."""
     same = np.arange(len(a))
-    for k in range(0, length, 8):
-        words = [t[p[same][:, None] + np.arange(k, min(k + 8, length))] for p in (a, b)]
-        same = same[(words[0] == words[1]).all(axis=1)]
+    words = np.ndarray(max(len(t) - 7, 0), "<u8", t, strides=(1,))      # eight bytes from every position
+    for k in [*range(0, length - 8, 8), length - 8]:
+        same = same[words[a[same] + k] == words[b[same] + k]]
     out = np.zeros(len(a), bool)
     out[same] = True
     return out
@@ -168,7 +178,7 @@ def repeated_strings(contexts: list[bytes], places: np.ndarray, copies: np.ndarr
     t = np.frombuffer(data, np.uint8)
     owner = np.repeat(np.arange(len(contexts)), sizes)
     fits = np.arange(len(t)) + LENGTH <= offsets[owner + 1]
-    order = suffix_array(data)
+    order = suffix_array(data, wanted=fits)
     order = order[fits[order]]
     repeated = np.zeros(len(t), bool)
     if len(order):

@@ -373,6 +373,11 @@ def test_long_texts_are_cut_in_pieces_alike(monkeypatch):
 @pytest.mark.parametrize("text", [b"", b"a", b"banana", b"mississippi" * 9, b"aaaaaaaa", bytes(range(256)) * 2, b"abab" * 60])
 def test_suffix_array(text):
     assert suffix_dedup.suffix_array(text, len(text) + 1).tolist() == sorted(range(len(text)), key=lambda i: text[i:])
+    whole = suffix_dedup.suffix_array(text)
+    for step in (1, 3, 7):
+        wanted = np.arange(len(text)) % step == 0
+        part = suffix_dedup.suffix_array(text, wanted=wanted)
+        assert part[wanted[part]].tolist() == whole[wanted[whole]].tolist()
 
 
 def test_passages_empty_repeated_and_null_ids(spark):
