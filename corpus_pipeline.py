@@ -15,6 +15,7 @@ from revana.workspace import materialise
 # A text this far from every profile is in none of the languages: noise shares
 # hardly any n-gram with a profile, prose of a known language half of them.
 LEAST_SCORE = 0.2
+SHINGLE = 5         # words
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +26,11 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near-duplicates, and all without one."""
-    gone = near_dedup.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
+    """The first document of each group of near-duplicates, and all without one.
+
+    Texts without words and rows without an id stay; rows of one id go together.
+    """
+    gone = near_dedup.near_duplicates(docs, width=SHINGLE).filter(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

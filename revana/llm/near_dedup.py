@@ -95,12 +95,12 @@ def _band_keys(sketches: np.ndarray) -> np.ndarray:
     return keys
 
 
-def sketch_documents(docs: DataFrame, id_col: str) -> DataFrame:
+def sketch_documents(docs: DataFrame, id_col: str, width: int = SHINGLE) -> DataFrame:
     """(id, n_shingles, s1, s2, bands, bins): s1 and s2 identify the set, ``bins``
     holds one byte per coordinate."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets, offsets = shingle_sets(field(batch, "text"))
+            sets, offsets = shingle_sets(field(batch, "text"), width)
             n = batch.num_rows
             sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(sets ^ np.uint64(c)), dtype=np.uint64)])
                     for c in (0x243F6A8885A308D3, 0x13198A2E03707344)]
@@ -135,7 +135,7 @@ def _plausible(pairs: DataFrame, info: DataFrame) -> DataFrame:
     return sized.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def verify(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+def verify(texts: DataFrame, pairs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """The pairs (a, b) whose full sets meet the threshold.
 
     The set of ``a`` is sent once per ``PER_GROUP`` partners, those of the
@@ -150,7 +150,7 @@ def verify(texts: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found, at = shingle_sets(field(batch, "text"))
+            found, at = shingle_sets(field(batch, "text"), width)
             raw = [found[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
             yield pa.RecordBatch.from_arrays(
                 [*(field(batch, c) for c in ("doc", "grp", "salt", "role")), pa.array(raw, pa.binary())],
@@ -179,15 +179,15 @@ def verify(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     return shipped.mapInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, n_shingles, component_id, kept) per row of ``docs``.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", width: int = SHINGLE) -> DataFrame:
+    """(id, n_shingles, component_id, kept) per row of ``docs``, by shingles of ``width`` words.
 
     Texts without words, null texts included, have an empty set and are linked
     with nothing. Rows that repeat are one class; each gets a result row. A row
     with a null id takes part through its class and is kept only if it is in no
     component with an id. Other columns are ignored.
     """
-    sketches = materialise(sketch_documents(docs, id_col), "sketches")
+    sketches = materialise(sketch_documents(docs, id_col, width), "sketches")
     key = ["n_shingles", "s1", "s2"]
     classes = materialise(sketches.filter("n_shingles > 0").groupBy(*key)
                           .agg(F.min(F.col(id_col).cast("long")).alias("rep")), "classes")
@@ -210,7 +210,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     def confirmed(plausible: DataFrame) -> DataFrame:
         plausible = materialise(plausible, "plausible")
         sizes = plausible.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-        return materialise(verify(texts, materialise(plausible.join(sizes, "a"), "pairs")), "links")
+        return materialise(verify(texts, materialise(plausible.join(sizes, "a"), "pairs"), width), "links")
 
     def roots(links: list[DataFrame]) -> DataFrame:
         return components(reduce(DataFrame.union, links))

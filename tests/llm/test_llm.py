@@ -255,7 +255,8 @@ def test_sketch_fills_and_estimates():
     assert abs((out[0] == out[1]).mean() - 0.8) < 0.09
 
 
-def test_near_duplicates_equal_all_pairs(spark):
+@pytest.mark.parametrize("width", [4, 5])
+def test_near_duplicates_equal_all_pairs(spark, width):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
     base = [word() for _ in range(120)]
@@ -267,11 +268,11 @@ def test_near_duplicates_equal_all_pairs(spark):
         texts.append(" ".join(own))
     texts += [" ".join(word() for _ in range(40)) for _ in range(20)]
     texts += [None, "", " \t", "one two", "ONE two", "one two three four", "é É", "É é", texts[0], texts[0].upper()]
-    got = {r.doc_id: r for r in near_dedup.near_duplicates(documents(spark, texts)).collect()}
+    got = {r.doc_id: r for r in near_dedup.near_duplicates(documents(spark, texts), width=width).collect()}
     sets = []
     for t in texts:
         w = [x for x in "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in (t or "")).replace("\t", " ").split(" ") if x]
-        sets.append({tuple(w[i:i + 4]) for i in range(max(1, len(w) - 3))} if w else set())
+        sets.append({tuple(w[i:i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
     links = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and
              100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
     want = brute_components(links, range(len(sets)))
@@ -471,7 +472,7 @@ def test_pipeline_stages(spark):
         assert docs.columns == columns
         sizes.append(docs.count())
         if name == "near_dedup":
-            kept = near_dedup.near_duplicates(before).filter("kept").count()
+            kept = near_dedup.near_duplicates(before, width=corpus_pipeline.SHINGLE).filter("kept").count()
             assert sizes[-1] == kept < sizes[0]
     assert sizes[0] == 200 and sizes[2] <= sizes[1]
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
