@@ -249,7 +249,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     """
     named = _named(docs, id_col, text)
     seen = named.mapInArrow(_anchor_rows, "doc long, h long, pos long, anchor long, context long")
-    twice = seen.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
+    # A written table, so that adaptive execution can split a hot anchor in the join.
+    twice = materialise(seen.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+                        .select("anchor"), "twice")
     spots = materialise(seen.join(twice, "anchor", "left_semi"), "anchors")
     classes = materialise(spots.groupBy("anchor", "context").agg(
         F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("doc", "h", "pos"))), "contexts")
