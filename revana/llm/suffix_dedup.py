@@ -12,9 +12,10 @@ arrays built in two stages: only suffixes smaller than their successor are sorte
 directly, the rest is induced by scanning the buckets in order. Neighbours with a
 common prefix of 200 bytes are repeats.
 
-A group with very many different contexts is split; strings that are single in
-their share are then matched across shares by counting. So no group, however
-large, meets in one task, and none is left out.
+A group with very many different contexts is split. Each share sends on every
+string once, with a flag whether it is repeated there; a string that is single in
+its share goes if any other place sends it too. So no group, however large, meets
+in one task, and none is left out.
 """
 
 from __future__ import annotations
@@ -170,7 +171,8 @@ def repeated_strings(contexts: list[bytes], places: np.ndarray, copies: np.ndarr
 
     ``places``: a number per context so that place + offset names the spot in the
     corpus, ``copies``: how often the context occurs. Returns the concatenated
-    contexts, their offsets, and for every start in them: a string fits / is repeated.
+    contexts, their offsets, and for every start in them: the number of its string
+    (equal strings have one number; -1 where none fits) / whether that is repeated.
     """
     sizes = np.array([len(c) for c in contexts])
     offsets = np.concatenate([[0], np.cumsum(sizes)])
@@ -180,7 +182,7 @@ def repeated_strings(contexts: list[bytes], places: np.ndarray, copies: np.ndarr
     fits = np.arange(len(t)) + LENGTH <= offsets[owner + 1]
     order = suffix_array(data, wanted=fits)
     order = order[fits[order]]
-    repeated = np.zeros(len(t), bool)
+    repeated, string = np.zeros(len(t), bool), np.full(len(t), -1)
     if len(order):
         run = np.concatenate([[0], np.cumsum(~common_prefix(t, order[:-1], order[1:]))])
         first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
@@ -188,7 +190,8 @@ def repeated_strings(contexts: list[bytes], places: np.ndarray, copies: np.ndarr
         many = np.maximum.reduceat(copies[owner[order]], first) > 1
         apart = np.minimum.reduceat(spot, first) != np.maximum.reduceat(spot, first)
         repeated[order] = (many | apart)[run]
-    return data, offsets, fits, repeated
+        string[order] = run
+    return data, offsets, string, repeated
 
 
 def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -196,12 +199,14 @@ def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-_NAMES = ["doc", "h", "start", "end", "anchor", "string"]
+_NAMES = ["doc", "h", "start", "end", "anchor", "string", "many"]
+_KINDS = [pa.int64()] * 6 + [pa.bool_()]
 
 
 def _suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (anchor, share) to covered stretches, and, for shares of a
-    split group, the strings that are single in their share (with ``string``)."""
+    split group, one place of each string (with ``string``, and ``many`` if it is
+    repeated in the share)."""
     held: list[tuple] = []
     size, key = 0, None
     for batch in batches:
@@ -221,22 +226,24 @@ def _covered(rows: list[tuple]) -> pa.RecordBatch:
     # Two contexts of one text can overlap: the same spot is not a repeat.
     texts = {k: i for i, k in enumerate(dict.fromkeys(zip(doc, h)))}
     places = np.array([(texts[k] << 40) + b for k, b in zip(zip(doc, h), begin)], np.int64)
-    data, offsets, fits, repeated = repeated_strings(list(contexts), places, np.array(n))
-    rolling = Rolling(np.frombuffer(data, np.uint8)) if any(split) else None
+    data, offsets, string, repeated = repeated_strings(list(contexts), places, np.array(n))
     out: list[tuple] = []
     for i in range(len(rows)):
         if n[i] > 1:            # covered throughout, by its copies
             continue
-        a, b = offsets[i], offsets[i + 1]
-        for s, e in zip(*_runs(repeated[a:b])):
-            out.append((doc[i], h[i], begin[i] + int(s), begin[i] + int(e) - 1 + LENGTH, None, None))
-        if split[i]:
-            single = a + np.flatnonzero(fits[a:b] & ~repeated[a:b])
-            hashes = rolling.spans(single, single + LENGTH).view(np.int64).tolist()
-            out += [(doc[i], h[i], begin[i] + p, begin[i] + p + LENGTH, anchor[i], x)
-                    for p, x in zip((single - a).tolist(), hashes)]
-    columns = zip(*out) if out else [[]] * 6
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], _NAMES)
+        for s, e in zip(*_runs(repeated[offsets[i]:offsets[i + 1]])):
+            out.append((doc[i], h[i], begin[i] + int(s), begin[i] + int(e) - 1 + LENGTH, None, None, None))
+    if any(split):
+        owner = np.repeat(np.arange(len(rows)), np.diff(offsets))
+        at = np.flatnonzero((string >= 0) & np.array(split)[owner])
+        # A string can lie in contexts of several anchors: once for each of them.
+        group = np.unique(np.array(anchor), return_inverse=True)[1]
+        at = at[np.unique(string[at] * len(rows) + group[owner[at]], return_index=True)[1]]
+        hashes = Rolling(np.frombuffer(data, np.uint8)).spans(at, at + LENGTH).view(np.int64)
+        for i, p, x, many in zip(owner[at].tolist(), (at - offsets[owner[at]]).tolist(), hashes.tolist(), repeated[at].tolist()):
+            out.append((doc[i], h[i], begin[i] + p, begin[i] + p + LENGTH, anchor[i], x, many))
+    columns = zip(*out) if out else [[]] * 7
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, _KINDS)], _NAMES)
 
 
 # ---- the operator -------------------------------------------------------------------
@@ -273,10 +280,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text
                         (F.least(a["pos"], F.lit(BEFORE)) + LENGTH).cast("int")).alias("bytes")))))
     compared = materialise(
         contexts.repartition("anchor", "share").sortWithinPartitions("anchor", "share")
-        .mapInArrow(_suffix_rows, "doc long, h long, start long, end long, anchor long, string long"), "compared")
-    singles = compared.filter("string IS NOT NULL")
-    met = singles.groupBy("anchor", "string").agg(F.count_distinct("doc", "h", "start").alias("n")).filter("n > 1")
-    across = singles.join(met, ["anchor", "string"]).select("doc", "h", "start", "end")
+        .mapInArrow(_suffix_rows, "doc long, h long, start long, end long, anchor long, string long, many boolean"),
+        "compared")
+    sent = compared.filter("string IS NOT NULL")
+    met = (sent.groupBy("anchor", "string")
+           .agg(F.count_distinct("doc", "h", "start").alias("n"), F.max("many").alias("_many"))
+           .filter("n > 1 OR _many").select("anchor", "string"))
+    across = sent.filter(~F.col("many")).join(met, ["anchor", "string"]).select("doc", "h", "start", "end")
     found = compared.filter("string IS NULL").select("doc", "h", "start", "end")
     return (whole.unionByName(found).unionByName(across)
             .groupBy("doc", "h").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans")))

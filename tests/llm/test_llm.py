@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from revana.llm import (chat, embedding_dedup, fingerprints, language_id, licenses, mixing, near_dedup, packing,
                         quality, queries, suffix_dedup)
-from revana.llm.common import components
+from revana.llm.common import Rolling, components
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -360,6 +360,28 @@ def test_passages_equal_brute_force(spark, monkeypatch, share, piece):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in rows} == dict(enumerate(brute_cut(texts)))
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_passages_single_in_one_share_and_repeated_in_another(spark, monkeypatch, seed):
+    monkeypatch.setattr(suffix_dedup, "SHARE", 2)
+    rng = random.Random(seed)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    many = letters(50_000)
+    best = int(np.argmin(Rolling(np.frombuffer(many.encode(), np.uint8)).grams(suffix_dedup.GRAM)))
+    hot, texts = many[best:best + suffix_dedup.GRAM], []        # the anchor of nearly all strings around it
+    for _ in range(8):
+        after, before = letters(100), letters(100)
+        texts += [letters(250) + hot + after + letters(250) for _ in range(3)]      # strings of exactly three places
+        equal = before + hot + letters(100)
+        texts += [letters(250) + equal, letters(260) + equal, letters(250) + before + hot + letters(250)]   # two equal contexts and one
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")       # so that the shares meet in tasks of their own
+    try:
+        rows = suffix_dedup.remove_repeats(documents(spark, texts)).collect()
+    finally:
+        spark.conf.unset(coalesce)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in rows} == dict(enumerate(brute_cut(texts)))
+
+
 def test_long_texts_are_cut_in_pieces_alike(monkeypatch):
     rng = np.random.default_rng(0)
     import pyarrow as pa
