@@ -3,10 +3,12 @@
 Every vector keeps a list of its nearest neighbours so far. Starting from random
 projections, each round introduces a vector's neighbours, and those that list it,
 to each other, and keeps what is closer. Vectors whose whole list meets the
-threshold are saturated: their lists are enlarged to their connected component,
-inside which all pairs are compared in tiles. A sample of vectors is compared
-with all others to audit the recall; below ``RECALL`` the lists are doubled and
-refined again.
+threshold are saturated: it may hide more links, so they are compared, in tiles,
+with all vectors of their label that lie in other components. A sample of vectors
+is compared with all others to audit the recall, per vector and for components of
+every size; below ``RECALL`` the lists are doubled and refined again, and if the
+last doubling is not enough, all vectors of a label are compared in tiles. The
+links of a vector are then counted inside its component.
 
 Only vectors of one label (and one dimension) are compared. Equal vectors are one
 class with a count, so a vector that is copied a million times costs as much as one.
@@ -161,7 +163,8 @@ def descend(nodes: DataFrame, lists: DataFrame | None, k: int, rounds: int = ROU
 
 def audit(nodes: DataFrame, roots: DataFrame, threshold: float, size: int = AUDITED) -> float:
     """Share of the links of up to ``size`` vectors, found by comparing them with
-    all others, that lie inside one component."""
+    all others, that lie inside one component: the mean over vectors, in the worst
+    of the classes of vectors by their component's size (a power of two)."""
     chosen = nodes.orderBy(F.xxhash64("rep"), "rep").limit(size).select("rep", "block", "vec").toArrow()
     if not chosen.num_rows:
         return 1.0
@@ -185,10 +188,71 @@ def audit(nodes: DataFrame, roots: DataFrame, threshold: float, size: int = AUDI
                 yield _pairs([(ids[i][other], reps[j][other], sims[i, j][other])])
 
     true = nodes.select("rep", "block", "vec").mapInArrow(links, _PAIRS)
+    sizes = roots.groupBy("root").agg(F.floor(F.log2(F.count(F.lit(1)))).alias("class"))
     met = (true.join(roots.select(F.col("node").alias("p"), F.col("root").alias("a")), "p", "left")
            .join(roots.select(F.col("node").alias("q"), F.col("root").alias("b")), "q", "left"))
-    n, found = met.agg(F.count(F.lit(1)), F.sum((F.col("a") == F.col("b")).cast("int"))).first()
-    return (found or 0) / n if n else 1.0
+    each = met.groupBy("p", "a").agg(F.avg(F.coalesce((F.col("a") == F.col("b")).cast("int"), F.lit(0))).alias("found"))
+    classes = (each.join(sizes.withColumnRenamed("root", "a"), "a", "left")
+               .groupBy("class").agg(F.avg("found").alias("found")))
+    worst = classes.agg(F.min("found")).first()[0]
+    return 1.0 if worst is None else worst
+
+
+def _forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of entries of a mask, fewer than rows and columns together,
+    that connect the same rows and columns as all of them."""
+    rows, cols = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    new_rows, new_cols = linked.any(axis=1), linked.any(axis=0)
+    while new_rows.any():
+        front = np.array([new_rows.argmax()])
+        new_rows[front] = False
+        while len(front):
+            reached = np.flatnonzero(linked[front].any(axis=0) & new_cols)
+            new_cols[reached] = False
+            rows.append(front[linked[np.ix_(front, reached)].argmax(axis=0)])
+            cols.append(reached)
+            front = np.flatnonzero(linked[:, reached].any(axis=1) & new_rows)
+            new_rows[front] = False
+            rows.append(front)
+            cols.append(reached[linked[np.ix_(front, reached)].argmax(axis=1)] if len(front) else front)
+    return np.concatenate(rows), np.concatenate(cols)
+
+
+def _saturated(lists: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(rep): vectors whose list is full of links."""
+    return lists.groupBy(F.col("p").alias("rep")).agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("least")).filter(
+        (F.col("n") >= k) & (F.col("least") >= threshold)).select("rep")
+
+
+def _across(nodes: DataFrame, chosen: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links that connect what the links of the ``chosen`` vectors (rep) to
+    other components connect.
+
+    The chosen and all vectors of a block are cut into tiles, and each two tiles
+    are one task, which returns fewer links than it has vectors.
+    """
+    rooted = nodes.select("rep", "block", "vec").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    rooted = rooted.withColumn("root", F.coalesce("root", "rep"))
+    asked = rooted.join(chosen, "rep", "left_semi")
+    tiles = lambda df, name: df.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / TILE).alias(name))
+    sizes = materialise(tiles(asked, "m").join(tiles(rooted, "n"), "block"), "tiles")
+    tile = lambda count: F.pmod(F.xxhash64("rep"), F.col(count))
+    each = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+    keys = ["block", "i", "j"]
+    sent = (asked.join(sizes, "block").select("block", tile("m").alias("i"), each("n").alias("j"), "rep", "root", "vec", F.lit(0).alias("role"))
+            .unionByName(rooted.join(sizes, "block").select(
+                "block", each("m").alias("i"), tile("n").alias("j"), "rep", "root", "vec", F.lit(1).alias("role"))))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(batches, keys):
+            x, reps = _matrix(group["vec"]), np.asarray(group["rep"])
+            root, role = np.asarray(group["root"]), np.asarray(group["role"])
+            own, other = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+            linked = (x[own] @ x[other].T >= threshold) & (root[own][:, None] != root[other])
+            row, col = _forest(linked)
+            yield pa.RecordBatch.from_arrays([pa.array(reps[own[row]]), pa.array(reps[other[col]])], ["a", "b"])
+
+    return sent.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long")
 
 
 def _link_counts(nodes: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
@@ -249,9 +313,15 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector: s
         lists = descend(nodes, lists, k)
         close = lists.filter(F.col("sim") >= threshold).select(F.col("p").alias("a"), F.col("q").alias("b"))
         roots = components(close)
+        full = materialise(_saturated(lists, k, threshold), "saturated")
+        if not full.isEmpty():
+            close = close.union(materialise(_across(nodes, full, roots, threshold), "across"))
+            roots = components(close)
         if audit(nodes, roots, threshold) >= RECALL:
             break
         k *= 2
+    else:
+        roots = components(close.union(materialise(_across(nodes, nodes.select("rep"), roots, threshold), "across")))
     counts = _link_counts(nodes, roots, threshold)
     known = (classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(counts, "rep", "left")
              .select(*key, F.coalesce("root", "rep").alias("component"),

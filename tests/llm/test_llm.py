@@ -459,6 +459,37 @@ def test_vectors_equal_all_pairs(spark):
     assert embedding_dedup.near_duplicate_vectors(df.limit(0)).collect() == []
 
 
+def _exact_components(rows, found):
+    x = np.array([v for _, v, _ in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    linked = x @ x.T >= 0.93
+    np.fill_diagonal(linked, False)
+    want = brute_components([(int(a), int(b)) for a, b in zip(*np.nonzero(linked))], range(len(rows)))
+    assert {r.vec_id: (r.n_links, r.component_id) for r in found} == {
+        i: (n, want[i]) for i, n in enumerate(linked.sum(1).tolist())}
+
+
+@pytest.mark.parametrize("tile", [512, 20])
+def test_vectors_of_two_dense_groups_are_linked_across(spark, monkeypatch, tile):
+    monkeypatch.setattr(embedding_dedup, "TILE", tile)
+    rng = np.random.default_rng(8)
+    centre, aside = np.eye(48)[0], np.eye(48)[1]
+    angle = np.arccos(0.945)
+    groups = [centre, np.cos(angle) * centre + np.sin(angle) * aside]
+    rows = [(60 * g + i, [float(x) for x in c + rng.normal(scale=0.008, size=48)], 1) for g, c in enumerate(groups) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    _exact_components(rows, embedding_dedup.near_duplicate_vectors(df).collect())
+
+
+def test_vectors_are_all_compared_if_recall_stays_short(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "TILE", 20)
+    monkeypatch.setattr(embedding_dedup, "descend", lambda nodes, lists, k: lists or nodes.sparkSession.createDataFrame([], "p long, q long, sim double"))
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in np.eye(16)[i % 7] + rng.normal(scale=0.06, size=16)], 1) for i in range(100)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    _exact_components(rows, embedding_dedup.near_duplicate_vectors(df).collect())
+
+
 # ---- quality ------------------------------------------------------------------------------
 
 def test_machine_scores_by_the_identity():
