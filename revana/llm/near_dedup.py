@@ -35,7 +35,7 @@ SHINGLE, PERCENT = 4, 80
 # agree on average with a standard deviation of 9, so 364 is five of them away.
 AGREE = 364
 PER_GROUP = 500             # candidates that are compared with one copy of a set
-TILE = 1_000                # members of a bucket that one task compares with those apart
+TILE = 1_000                # members of a bucket, and as many of those apart, that one task compares
 
 
 def shingle_sets(texts: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -203,6 +203,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", width: int = SHINGL
         .filter("low < high").drop("high"))
     members = materialise(banded.join(ends, "band").distinct(), "members")
     slim = info.select("rep", "n_shingles", "bins")
+    binned = info.select("rep", "n_shingles", "bands", "bins")
     wanted = members.select(F.col("rep").alias("doc")).distinct().hint("merge")
     texts = materialise(docs.select(F.col(id_col).cast("long").alias("doc"), "text")
                         .join(wanted, "doc", "left_semi"), "candidates")
@@ -228,9 +229,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", width: int = SHINGL
     # What a bucket still holds apart: members outside its pivot's component,
     # against all members of other components.
     labelled = _labelled(members, state)
-    apart = materialise(labelled.filter("root <> pivot_root").select("band", "rep", "root"), "apart")
-    if not apart.isEmpty():
-        left = _ordered(_apart_pairs(labelled, apart, slim)).distinct()
+    buckets = labelled.filter("root <> pivot_root").select("band").distinct()
+    labelled = materialise(labelled.join(buckets, "band", "left_semi").select(
+        "band", "rep", "root", (F.col("root") != F.col("pivot_root")).alias("apart")), "apart")
+    if not labelled.isEmpty():
+        left = _ordered(_apart_pairs(labelled, binned))
         seen = _ordered(reduce(DataFrame.union, tried))
         left = left.join(seen, ["a", "b"], "left_anti")
         found.append(confirmed(left))
@@ -243,32 +246,46 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", width: int = SHINGL
                          F.col(id_col).cast("long").eqNullSafe(component).alias("kept"))
 
 
-def _apart_pairs(labelled: DataFrame, apart: DataFrame, info: DataFrame) -> DataFrame:
+def _tiled(labelled: DataFrame) -> DataFrame:
+    """(band, block, tile, rep, root, apart, role): the members of each bucket with
+    members ``apart`` in tiles (role 1), and those apart in blocks (role 0); each
+    block meets each tile."""
+    sizes = labelled.groupBy("band").agg(
+        F.ceil(F.count(F.lit(1)) / TILE).alias("tiles"), F.ceil(F.count_if("apart") / TILE).alias("blocks"))
+    sized = labelled.join(sizes, "band")
+    own = lambda count: F.pmod(F.xxhash64("rep", "band"), F.col(count))
+    each = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+    every = sized.filter("blocks > 0").select(
+        "band", each("blocks").alias("block"), own("tiles").alias("tile"), "rep", "root", "apart", F.lit(1).alias("role"))
+    alone = sized.filter("apart").select(
+        "band", own("blocks").alias("block"), each("tiles").alias("tile"), "rep", "root", "apart", F.lit(0).alias("role"))
+    return every.unionByName(alone)
+
+
+def _apart_pairs(labelled: DataFrame, info: DataFrame) -> DataFrame:
     """Pairs (a, b) of one bucket but two components whose sizes and bins allow the
-    threshold; a is apart from the bucket's pivot.
+    threshold, each once; a is apart from the bucket's pivot.
 
-    A bucket is cut into tiles, and those apart go to each tile. Comparing is
-    done on the bins inside the tasks; only what passes becomes a row.
+    One of two members with different components is apart in every bucket they
+    share, so a pair is compared in the first of these only. Comparing is done on
+    the bins inside tasks of bounded size; only what passes becomes a row.
     """
-    tiles = labelled.groupBy("band").agg(
-        F.ceil(F.count(F.lit(1)) / TILE).alias("tiles")).join(apart.select("band").distinct(), "band")
-    every = labelled.join(tiles, "band").select(
-        "band", F.pmod(F.xxhash64("rep"), F.col("tiles")).alias("tile"), "rep", "root", F.lit(1).alias("role"))
-    alone = apart.join(tiles, "band").select(
-        "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("tile"), "rep", "root",
-        F.lit(0).alias("role"))
-    keys = ["band", "tile"]
-    rows = every.unionByName(alone).join(info, "rep").select(*keys, "role", "rep", "root", "n_shingles", "bins")
+    keys = ["band", "block", "tile"]
+    rows = _tiled(labelled).join(info, "rep").select(*keys, "role", "rep", "root", "apart", "n_shingles", "bands", "bins")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups(batches, keys):
-            role, rep, root, size = (np.asarray(group[c]) for c in ("role", "rep", "root", "n_shingles"))
+            role, rep, root, apart, size = (np.asarray(group[c]) for c in ("role", "rep", "root", "apart", "n_shingles"))
             bins = np.frombuffer(b"".join(group["bins"].to_pylist()), np.uint8).reshape(-1, COORDINATES)
+            bands = np.asarray(group["bands"].combine_chunks().flatten()).reshape(-1, BANDS)
+            place = int((bands[0] == group["band"][0].as_py()).argmax())
             there = np.flatnonzero(role == 1)
             found = []
             for i in np.flatnonzero(role == 0):
-                fit = there[(root[there] != root[i])
+                # Two that are both apart meet twice; the smaller one asks.
+                fit = there[(root[there] != root[i]) & (~apart[there] | (rep[i] < rep[there]))
                             & (100 * np.minimum(size[there], size[i]) >= PERCENT * np.maximum(size[there], size[i]))]
+                fit = fit[~(bands[fit, :place] == bands[i, :place]).any(axis=1)]
                 near = fit[(bins[fit] == bins[i]).sum(axis=1) >= AGREE]
                 if len(near):
                     found.append((np.full(len(near), rep[i]), rep[near]))

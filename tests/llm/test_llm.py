@@ -287,6 +287,36 @@ def test_near_duplicates_empty_and_null_ids(spark):
         map(str, [(3, 3, True), (None, 3, False), (None, None, True), (None, None, True)]))
 
 
+def test_members_apart_meet_once_and_in_bounded_tasks(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "TILE", 5)
+    n, shared = 40, [3, 7]          # all are alike and apart; two bands are shared by all, one by half of them
+    bands = [[1000 * k + (0 if k in shared else i % 2 if k == 9 else i + 1) for k in range(near_dedup.BANDS)] for i in range(n)]
+    info = spark.createDataFrame([(i, 100, bands[i], b"x" * near_dedup.COORDINATES) for i in range(n)],
+                                 "rep long, n_shingles long, bands array<long>, bins binary")
+    rows = [(bands[i][k], i, i, i != 0 or k == 9) for i in range(n) for k in (*shared, 9)]
+    labelled = spark.createDataFrame(rows, "band long, rep long, root long, apart boolean")
+    got = [tuple(sorted(r)) for r in near_dedup._apart_pairs(labelled, info).collect()]
+    assert sorted(got) == [(a, b) for a in range(n) for b in range(a + 1, n)]
+    largest = near_dedup._tiled(labelled).groupBy("band", "block", "tile").count().agg(F.max("count")).first()[0]
+    assert largest <= 30            # about two times five, not all that are apart
+
+
+def test_alike_but_apart_texts_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "TILE", 4)
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    base, texts = [word() for _ in range(120)], []
+    for i in range(70):             # most of them 60 to 85 % alike
+        own = list(base)
+        for at in rng.sample(range(120), rng.randrange(2, 7)):
+            own[at] = word()
+        texts.append(" ".join(own))
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(documents(spark, texts)).collect()}
+    sets = [{tuple(w[i:i + 4]) for i in range(117)} for w in (t.split() for t in texts)]
+    links = [(i, j) for i in range(70) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    assert got == brute_components(links, range(70))
+
+
 # ---- mixing --------------------------------------------------------------------------
 
 def test_mixture_meets_entropy_or_repeat_limit():
