@@ -1,10 +1,12 @@
 """Document fingerprints by winnowing, in SQL functions only.
 
 A text's lower-cased words (letters and digits; characters of scripts without
-blanks are words each) give hashes of every ``K`` words in a row. In every window
-of ``WINDOW`` such hashes the smallest is chosen, the rightmost of equal ones,
-and its position is kept. Two texts that share ``K + WINDOW - 1`` words in a row
-therefore always share a fingerprint, with positions that point into that run.
+blanks, and of runs over ``LONG`` characters, are words each) give hashes of every
+``k`` words in a row. In every window of such hashes the smallest is chosen, the
+rightmost of equal ones, and its position is kept. Two texts that share
+``k + window - 1`` words in a row therefore always share a fingerprint, with
+positions that point into that run. For documents ``FINE_K`` and ``FINE_WINDOW``
+hold; a text of up to ``SHORT`` hashes keeps them all, so that half of it is found.
 """
 
 from __future__ import annotations
@@ -13,10 +15,13 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 K, WINDOW = 5, 16
 MATCH_WORDS = K + WINDOW - 1
+FINE_K, FINE_WINDOW, SHORT = 2, 4, 16
+LONG = 32
 PER_BUCKET, MAX_BUCKETS = 1_000, 100_000
 
 _SINGLE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}"
-_WORD = rf"[{_SINGLE}]|[\p{{L}}\p{{M}}\p{{N}}&&[^{_SINGLE}]]+"
+_JOINED = rf"[\p{{L}}\p{{M}}\p{{N}}&&[^{_SINGLE}]]"
+_WORD = rf"[{_SINGLE}]|(?<!{_JOINED}){_JOINED}{{1,{LONG}}}(?!{_JOINED})|{_JOINED}"
 _LOW = 0xFFFFFFFF
 
 
@@ -25,18 +30,18 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def winnow(text: Column, k: int = K, window: int = WINDOW) -> Column:
+def winnow(text: Column, k: int = K, window: int = WINDOW, short: int = 0) -> Column:
     """array<struct<position, hash>>: the chosen hashes by position (in words).
 
     Fewer words than ``k`` are hashed as one, fewer hashes than ``window`` are one
-    window; a null text or one without words has no fingerprint (empty array).
+    window, up to ``short`` hashes are all chosen; a null text or one without words has no fingerprint (empty array).
     """
     def select(grams: Column) -> Column:
         # Hash in the upper half, inverted position below: the minimum is the
         # smallest hash and, among equal ones, the rightmost.
         keys = F.transform(grams, lambda g, i: F.shiftleft(F.shiftrightunsigned(g, 33), 32).bitwiseOR(
             F.lit(_LOW) - i.cast("long")))
-        chosen = let(keys, lambda v: F.when(F.size(v) <= window, F.array(F.array_min(v))).otherwise(
+        chosen = let(keys, lambda v: F.when(F.size(v) <= short, v).when(F.size(v) <= window, F.array(F.array_min(v))).otherwise(
             F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(v) - F.lit(window - 1)),
                                          lambda i: F.array_min(F.slice(v, i, window))))))
         place = lambda m: F.lit(_LOW) - m.bitwiseAND(F.lit(_LOW))
@@ -56,23 +61,28 @@ def winnow(text: Column, k: int = K, window: int = WINDOW) -> Column:
     return let(F.transform(words, lambda w: F.xxhash64(w)), fingerprint)
 
 
+def hashes(text: Column) -> Column:
+    """array<long>: the hashes of a document's fingerprint by position."""
+    return F.transform(winnow(text, FINE_K, FINE_WINDOW, SHORT), lambda f: f["hash"])
+
+
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard index of the hashes of two fingerprints; 1 if both are empty."""
+    """Jaccard index of two sets of hashes; 1 if both are empty."""
     def index(x: Column, y: Column) -> Column:
         both = F.size(F.array_intersect(x, y))
         union = F.size(F.array_union(x, y))
         return F.when(union == 0, F.lit(1.0)).otherwise(both / union)
-    return index(F.transform(a, lambda f: f["hash"]), F.transform(b, lambda f: f["hash"]))
+    return let(a, lambda x: let(b, lambda y: index(x, y)))
 
 
 def as_text(fingerprint: Column) -> Column:
     """The hashes in order of position, 8 hexadecimal digits (upper half) each."""
-    return F.array_join(F.transform(fingerprint, lambda f: F.lpad(
-        F.lower(F.hex(F.shiftrightunsigned(f["hash"], 32))), 8, "0")), "")
+    return F.array_join(F.transform(fingerprint, lambda h: F.lpad(
+        F.lower(F.hex(F.shiftrightunsigned(h, 32))), 8, "0")), "")
 
 
 def fingerprints(docs: DataFrame, text: str = "text", out: str = "winnowed") -> DataFrame:
-    return docs.withColumn(out, winnow(F.col(text)))
+    return docs.withColumn(out, hashes(F.col(text)))
 
 
 def with_next(docs: DataFrame, id_col: str, columns: list[str], tie: str = "text") -> DataFrame:

@@ -44,7 +44,7 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     edited = fingerprints.half_edited(F.col("text"), F.col("next_text"))
     both = (pairs.withColumn("edited", edited)
             .select("doc_id", "text", "winnowed", "next_winnowed", F.sha2("edited", 256).alias("edited_sha256"),
-                    fingerprints.winnow(F.col("edited")).alias("edited_winnowed")))
+                    fingerprints.hashes(F.col("edited")).alias("edited_winnowed")))
     return both.select(
         "doc_id", F.char_length("text").cast("long").alias("n_chars"), "edited_sha256",
         fingerprints.as_text(F.col("winnowed")).alias("fingerprint"),

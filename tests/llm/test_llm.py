@@ -197,6 +197,19 @@ def test_fingerprint_query(spark):
         assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
 
 
+def test_a_kept_half_is_found_at_every_size(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = [" ".join(word() for _ in range(n)) for n in range(5, 41)]
+    texts += ["".join(rng.choice("abcdefghij") for _ in range(n)) for n in (70, 300, 5000)]     # no blanks
+    rows = [(i, t, " ".join(word() for _ in range(60)) + "".join(rng.choice("klmnop") for _ in range(3000))) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, following string")
+    df = fingerprints.fingerprints(df.withColumn("edited", fingerprints.half_edited(F.col("text"), F.col("following"))))
+    edited = fingerprints.fingerprints(df, "edited", "edited_winnowed")
+    near = fingerprints.likeness(F.col("winnowed"), F.col("edited_winnowed"))
+    assert [r.doc_id for r in edited.select("doc_id", near.alias("near")).filter("near = 0").collect()] == []
+
+
 # ---- chat ---------------------------------------------------------------------------
 
 def test_chat_round_trip_and_digests(spark):
