@@ -28,10 +28,19 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near-duplicates, and all without one.
 
-    Texts without words and rows without an id stay; rows of one id go together.
+    Documents are named by id and text, so a null or repeated id is no reason to
+    go or to stay: the first is by id, null last, then by hash. Of rows with equal
+    id and text one stays, all of those without words.
     """
-    gone = near_dedup.near_duplicates(docs, width=SHINGLE).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    words = F.coalesce(F.col("text").rlike("[^ \\t\\n\\x0B\\f\\r]"), F.lit(False))
+    own = [F.col(c) for c in docs.columns]
+    rows = materialise(docs.filter(words).groupBy(F.xxhash64("doc_id", "text").alias("_name"))
+                       .agg(F.min(F.struct(*own)).alias("_row")).select("_name", "_row.*"), "rows")
+    found = near_dedup.near_duplicates(rows.select(F.col("_name").alias("doc_id"), "text"), width=SHINGLE)
+    found = found.select(F.col("doc_id").alias("_name"), "component_id")
+    first = (rows.select("_name", "doc_id").join(found, "_name").groupBy("component_id")
+             .agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_name"))["_name"].alias("_name")))
+    return rows.join(first, "_name", "left_semi").select(*docs.columns).unionByName(docs.filter(~words))
 
 
 def passages_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

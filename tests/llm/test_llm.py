@@ -573,3 +573,14 @@ def test_pipeline_stages(spark):
     assert sizes[0] == 200 and sizes[2] <= sizes[1]
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert packed.filter("start = 0").count() == sizes[-1]
+
+
+def test_near_copies_with_repeated_and_null_ids(spark):
+    near, own = PROSE * 6, " ".join(f"w{i}" for i in range(60))
+    texts = [near, near + "end", own, near, near, own + " x y", None, "", " "]
+    ids = [5, 7, 7, None, 7, None, 1, None, None]
+    got = corpus_pipeline.one_of_near_copies(spark, documents(spark, texts, ids=ids), SF).collect()
+    key = lambda rows: sorted(map(repr, rows))
+    assert key((r.doc_id, r.text) for r in got) == key([(5, near), (7, own), (1, None), (None, ""), (None, " ")])
+    copies = corpus_pipeline.one_of_near_copies(spark, documents(spark, [own] * 3, ids=[4, 4, None]), SF).collect()
+    assert [(r.doc_id, r.text) for r in copies] == [(4, own)]
