@@ -146,11 +146,12 @@ def price_patterns(prices: np.ndarray, units: np.ndarray, room: int, most: int)
     return float(value[room]), patterns
 
 
-def first_patterns(units: np.ndarray, demand: np.ndarray, room: int) -> list[tuple[Counter, float]]:
+def first_patterns(units: np.ndarray, demand: np.ndarray, room: int) -> list[tuple[Counter, float, int]]:
     """A starting basis: patterns filled largest first, each used until one of its
-    units is used up. That unit is in no later pattern, so the basis is triangular."""
+    units is used up. That unit is in no later pattern, so the basis is triangular.
+    Returns (pattern, times, the unit that is used up)."""
     left = demand.astype(float)
-    basis: list[tuple[Counter, float]] = []
+    basis: list[tuple[Counter, float, int]] = []
     for k in range(len(units) - 1, -1, -1):
         while left[k] > 0:
             pattern, free, i = Counter(), room, k
@@ -166,11 +167,31 @@ def first_patterns(units: np.ndarray, demand: np.ndarray, room: int) -> list[tup
             used_up = held[left[held] - per * times <= 1e-9]
             left[held] -= per * times
             left[used_up] = 0
-            basis.append((pattern, times))
-            basis += [(Counter({int(i): int(room // units[i])}), 0.0) for i in used_up[1:]]
+            basis.append((pattern, times, int(used_up[0])))
+            basis += [(Counter({int(i): int(room // units[i])}), 0.0, int(i)) for i in used_up[1:]]
     return basis
 
 
+def _triangular_inverse(basis: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Inverse of a basis whose rows, taken in the order ``rows``, are lower
+    triangular, by substitution.
+
+    Neither here nor in ``solve`` is a BLAS or LAPACK routine called: their
+    thread pool can stall for good in a driver that also runs the JVM gateway
+    and tokenizers. The programs have a few hundred rows at most.
+    """
+    n = len(basis)
+    lower = basis[rows]
+    inverse = np.zeros((n, n))
+    for k in range(n):
+        inverse[k, k] = 1
+        inverse[k] -= np.einsum("i,ij->j", lower[k, :k], inverse[:k])
+        inverse[k] /= lower[k, k]
+    out = np.empty((n, n))
+    out[:, rows] = inverse
+    return out
+
+
 def solve(units: np.ndarray, demand: np.ndarray, room: int, gap: float = GAP) -> tuple[list[Counter], np.ndarray]:
     """Patterns and (fractional) numbers of sequences that cover the demand.
 
@@ -183,14 +204,17 @@ def solve(units: np.ndarray, demand: np.ndarray, room: int, gap: float = GAP) ->
     n = len(units)
     patterns: list[Counter] = [Counter() for _ in range(n)]
     basis = np.zeros((n, n))
-    x, cost = np.zeros(n), np.ones(n)
-    for k, (pattern, times) in enumerate(first_patterns(units, demand, room)):
-        patterns[k], x[k] = pattern, times
+    x, cost, used_up = np.zeros(n), np.ones(n), np.zeros(n, int)
+    for k, (pattern, times, unit) in enumerate(first_patterns(units, demand, room)):
+        patterns[k], x[k], used_up[k] = pattern, times, unit
         basis[list(pattern), k] = list(pattern.values())
-    inverse = np.linalg.inv(basis) if n else basis
+    inverse = _triangular_inverse(basis, used_up)
+
+    def priced() -> np.ndarray:
+        return np.einsum("i,ij->j", cost, inverse)
 
     def pivot(column: np.ndarray, pattern: Counter, price: float) -> None:
-        d = inverse @ column
+        d = np.einsum("ij,j->i", inverse, column)
         good = d > 1e-9
         if not good.any():
             return
@@ -204,18 +228,18 @@ def solve(units: np.ndarray, demand: np.ndarray, room: int, gap: float = GAP) ->
         patterns[out], cost[out] = pattern, price
 
     for _ in range(ROUNDS if n else 0):
-        prices = cost @ inverse
+        prices = priced()
         for i in np.argsort(prices, kind="stable")[:PIVOTS]:
-            if prices[i] < -1e-7 and cost @ inverse[:, i] < -1e-7:
+            if prices[i] < -1e-7 and np.einsum("i,i->", cost, inverse[:, i]) < -1e-7:
                 pivot(-np.eye(1, n, i)[0], Counter(), 0.0)
-        prices = np.maximum(cost @ inverse, 0)
+        prices = np.maximum(priced(), 0)
         worth, found = price_patterns(prices, units, room, PIVOTS)
         if not found or 1 - 1 / worth <= gap:
             break
         for pattern in found:
             column = np.zeros(n)
             column[list(pattern)] = list(pattern.values())
-            if (cost @ inverse) @ column > 1 + 1e-7:
+            if np.einsum("i,i->", priced(), column) > 1 + 1e-7:
                 pivot(column, pattern, 1.0)
     return patterns, x
 

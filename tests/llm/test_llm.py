@@ -3,6 +3,7 @@ on nulls, empty and long texts, ties, repeated rows, empty tables and extra colu
 
 import hashlib
 import random
+import threading
 import zlib
 from collections import Counter
 
@@ -152,6 +153,30 @@ def test_plan_places_each_length_and_wastes_little(seed):
     assert sum(n for _, n in plan) <= 1.01 * lengths.sum() / 512 + 2
 
 
+def test_plan_is_found_beside_spark_and_tokenizers(spark):
+    """The solver once stalled for good in a BLAS thread pool of such a process."""
+    packing.pack(documents(spark, [PROSE] * 50)).collect()
+    packing.encode(PROSE)
+    for seed in range(10):
+        rng = np.random.default_rng(seed)
+        histogram = {u: int(n) for u, n in enumerate(rng.integers(1, 200, 512), start=1)}
+        done = []
+        solver = threading.Thread(target=lambda: done.append(packing.pack_histogram(histogram, 512)), daemon=True)
+        solver.start()
+        solver.join(60)
+        assert done and sum(n for _, n in done[0]) <= 1.03 * sum(u * n for u, n in histogram.items()) / 512 + 2
+
+
+def test_first_inverse():
+    rng = np.random.default_rng(5)
+    units, demand = np.arange(3, 200), rng.integers(1, 90, 197).astype(float)
+    basis, rows = np.zeros((197, 197)), np.zeros(197, int)
+    for k, (pattern, _, unit) in enumerate(packing.first_patterns(units, demand, 512)):
+        basis[list(pattern), k], rows[k] = list(pattern.values()), unit
+    inverse = packing._triangular_inverse(basis, rows)
+    assert np.abs(np.einsum("ij,jk->ik", inverse, basis) - np.eye(197)).max() < 1e-9
+
+
 # ---- fingerprints -----------------------------------------------------------------
 
 def test_next_rows_by_descending_id(spark, monkeypatch):
