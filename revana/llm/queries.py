@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from revana.llm import (chat, embedding_dedup, fingerprints, language_id, licenses, mixing, near_dedup, packing,
-                        quality, suffix_dedup)
+                        periodic_runs, quality, suffix_dedup)
 from revana.llm.common import is_row, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +146,35 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def periodically_edited(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): of every tenth document by the crc32 of its id, the words
+    from some place on repeat with a period. A null id is in no tenth."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), 1))
+    n, a, p = F.size("words"), F.col("a"), F.col("p")
+    begun = (docs.select("doc_id", "text", g.alias("g"), words.alias("words"))
+             .withColumn("a", F.when(n > 0, (F.col("g") % n).cast("int")))
+             .withColumn("p", (1 + F.floor((n - a) / (3 + F.col("g") % 8))).cast("int")))
+    period = F.slice("words", a + 1, p)
+    again = F.slice(F.flatten(F.array_repeat(period, F.ceil((n - a) / p).cast("int"))), F.lit(1), n - a)
+    edited = F.array_join(F.concat(F.slice("words", F.lit(1), a), again), " ")
+    return begun.select("doc_id", F.when(a.isNotNull(), edited).otherwise(F.col("text")).alias("text"))
+
+
+@query()
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.collapse_runs(periodically_edited(table(spark, sf_dir, "documents")))
+    # Longest, then first, then of the smallest period.
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"),
+                                                              (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(
+        F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
