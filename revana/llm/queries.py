@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from revana.llm import (chat, embedding_dedup, fingerprints, language_id, licenses, mixing, near_dedup, packing,
+from revana.llm import (chat, embedding_dedup, fingerprints, language_id, licenses, main_text, mixing, near_dedup, packing,
                         periodic_runs, quality, suffix_dedup)
 from revana.llm.common import is_row, table
 
@@ -178,3 +178,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         (-F.col("best.period")).alias("period"),
         F.floor(1000 * F.col("best.length") / -F.col("best.period")).cast("long").alias("exponent_milli"),
         F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query()
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = main_text.extract_main_text(pages, main_text.train(pages), ["page_id", "url"])
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
