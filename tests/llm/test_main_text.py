@@ -106,17 +106,17 @@ def test_every_kind_of_boilerplate_goes(model, wrap, seed):
 def test_form_labels_pages_without_named_elements(spark):
     """The articles of the pages with every naming element made a plain one."""
     model = main_text.train(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
-    right = wrong = 0
+    kept = lost = menus = others = 0
     for _, _, page in duckdb.sql("SELECT * FROM '/root/testdata/sf0.01/pages.parquet'").fetchall():
-        plain = re.sub(r"<(/?)(nav|article|footer|div)[^>]*>", r"<\1div>", page)
-        assert Page(plain).texts == Page(page).texts
-        expected = label_blocks(Page(page), model)
-        for text, a, b in zip(Page(page).texts, expected, label_blocks(Page(plain), model)):
-            if a == b:
-                right += len(text)
-            else:
-                wrong += len(text)
-    assert wrong <= 0.03 * (right + wrong)
+        plain = Page(re.sub(r"<(/?)(nav|article|footer|div)[^>]*>", r"<\1div>", page))
+        assert plain.texts == Page(page).texts
+        for text, owner, a, b in zip(plain.texts, plain.owners, label_blocks(Page(page), model), label_blocks(plain, model)):
+            kept += len(text) * (a and b)
+            lost += len(text) * (a and not b)
+            menus += len(text) * (b and plain.tags[owner] == "li")
+            others += len(text) * (b and not a)
+    # Nothing of the article and no menu; a line of advert or footer beside it looks like a short paragraph.
+    assert lost == 0 and menus == 0 and others <= 0.06 * kept
 
 
 @pytest.mark.parametrize("page, expected", [
