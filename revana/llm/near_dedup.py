@@ -13,8 +13,11 @@ no band with probability (1 - 0.8^4)^32 < 5e-8. Candidates are confirmed on thei
 full sets. A bucket of candidates is not expanded to pairs: each member is first
 compared with the smallest member it shares a bucket with; those that stay apart
 from a bucket's pivot, another member for every band, are then compared with these
-pivots. Members that are now connected need no more comparing, and only pairs that
-still lie in different components are compared one by one, so no connection is lost.
+pivots. Members that are now connected need no more comparing. Those of different
+components are compared one by one, in tiles of bounded size: first by their bins,
+which tells what members have a plausible partner in the tile, then these on their full
+sets. A tile returns links that connect what all its links connect, fewer than it
+has members, so rows grow with members, not pairs, and no connection is lost.
 """
 
 from __future__ import annotations
@@ -35,7 +38,8 @@ SHINGLE, PERCENT = 4, 80
 # agree on average with a standard deviation of 9, so 364 is five of them away.
 AGREE = 364
 PER_GROUP = 500             # candidates that are compared with one copy of a set
-TILE = 1_000                # members of a bucket, and as many of those apart, that one task compares
+TILE = 1_000                # members of a bucket, and as many of those apart, that one task compares,
+TILE_SHINGLES = 1 << 20     # and about so many shingles of each
 
 
 def shingle_sets(texts: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -195,7 +199,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", width: int = SHINGL
     info = materialise(
         sketches.join(chosen.withColumnRenamed("rep", id_col), [*key, id_col])
         .select(F.col(id_col).cast("long").alias("rep"), "n_shingles", "bands", "bins"), "info")
-    banded = info.select("rep", F.explode("bands").alias("band"))
+    banded = info.select("rep", "n_shingles", F.explode("bands").alias("band"))
     # A pivot per band by a hash that differs from band to band.
     ends = (banded.groupBy("band").agg(
         F.min("rep").alias("low"), F.max("rep").alias("high"),
@@ -231,12 +235,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", width: int = SHINGL
     labelled = _labelled(members, state)
     buckets = labelled.filter("root <> pivot_root").select("band").distinct()
     labelled = materialise(labelled.join(buckets, "band", "left_semi").select(
-        "band", "rep", "root", (F.col("root") != F.col("pivot_root")).alias("apart")), "apart")
+        "band", "rep", "root", (F.col("root") != F.col("pivot_root")).alias("apart"), "n_shingles"), "apart")
     if not labelled.isEmpty():
-        left = _ordered(_apart_pairs(labelled, binned))
-        seen = _ordered(reduce(DataFrame.union, tried))
-        left = left.join(seen, ["a", "b"], "left_anti")
-        found.append(confirmed(left))
+        found.append(materialise(_apart_links(labelled, binned, texts, width), "links"))
         state = roots(found)
     labels = (classes.join(state.withColumnRenamed("node", "rep"), "rep", "left")
               .select(*key, F.coalesce("root", "rep").alias("_component")))
@@ -246,13 +247,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", width: int = SHINGL
                          F.col(id_col).cast("long").eqNullSafe(component).alias("kept"))
 
 
+_PLACE = ["band", "block", "tile"]
+_MEMBER = "band long, block long, tile long, role int, rep long, root long, apart boolean, n_shingles long, bands array<long>, bins binary"
+
+
 def _tiled(labelled: DataFrame) -> DataFrame:
     """(band, block, tile, rep, root, apart, role): the members of each bucket with
     members ``apart`` in tiles (role 1), and those apart in blocks (role 0); each
-    block meets each tile."""
+    block meets each tile. Both are cut by number and by shingles."""
+    parts = lambda n, size: F.greatest(F.ceil(n / TILE), F.ceil(size / TILE_SHINGLES))
+    own_size = F.when(F.col("apart"), F.col("n_shingles")).otherwise(0)
     sizes = labelled.groupBy("band").agg(
-        F.ceil(F.count(F.lit(1)) / TILE).alias("tiles"), F.ceil(F.count_if("apart") / TILE).alias("blocks"))
-    sized = labelled.join(sizes, "band")
+        parts(F.count(F.lit(1)), F.sum("n_shingles")).alias("tiles"),
+        parts(F.count_if("apart"), F.sum(own_size)).alias("blocks"))
+    sized = labelled.drop("n_shingles").join(sizes, "band")
     own = lambda count: F.pmod(F.xxhash64("rep", "band"), F.col(count))
     each = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
     every = sized.filter("blocks > 0").select(
@@ -262,37 +270,81 @@ def _tiled(labelled: DataFrame) -> DataFrame:
     return every.unionByName(alone)
 
 
-def _apart_pairs(labelled: DataFrame, info: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one bucket but two components whose sizes and bins allow the
-    threshold, each once; a is apart from the bucket's pivot.
+def _plausible_partners(group: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """Of one tile: (row of a member apart, rows of members of other components whose
+    sizes and bins allow the threshold).
 
     One of two members with different components is apart in every bucket they
-    share, so a pair is compared in the first of these only. Comparing is done on
-    the bins inside tasks of bounded size; only what passes becomes a row.
+    share, so a pair is compared in the first of these only, and if both are apart
+    there the smaller one asks.
     """
-    keys = ["band", "block", "tile"]
-    rows = _tiled(labelled).join(info, "rep").select(*keys, "role", "rep", "root", "apart", "n_shingles", "bands", "bins")
+    role, rep, root, apart, size = (np.asarray(group[c]) for c in ("role", "rep", "root", "apart", "n_shingles"))
+    bins = np.frombuffer(b"".join(group["bins"].to_pylist()), np.uint8).reshape(-1, COORDINATES)
+    bands = np.asarray(group["bands"].combine_chunks().flatten()).reshape(-1, BANDS)
+    place = int((bands[0] == group["band"][0].as_py()).argmax())
+    there = np.flatnonzero(role == 1)
+    for i in np.flatnonzero(role == 0).tolist():
+        fit = there[(root[there] != root[i]) & (~apart[there] | (rep[i] < rep[there]))
+                    & (100 * np.minimum(size[there], size[i]) >= PERCENT * np.maximum(size[there], size[i]))]
+        fit = fit[~(bands[fit, :place] == bands[i, :place]).any(axis=1)]
+        near = fit[(bins[fit] == bins[i]).sum(axis=1) >= AGREE]
+        if len(near):
+            yield i, near
+
+
+def _with_partner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each tile that have a plausible partner there."""
+    for group in groups(batches, _PLACE):
+        chosen = np.zeros(group.num_rows, bool)
+        for i, near in _plausible_partners(group):
+            chosen[i] = chosen[near] = True
+        if chosen.any():
+            yield from group.filter(pa.array(chosen)).to_batches()
+
+
+def _linked_in_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of each tile that meet the threshold on full sets, none between
+    members that are connected already."""
+    for group in groups(batches, _PLACE):
+        rep, root = np.asarray(group["rep"]), np.asarray(group["root"])
+        sets = [np.frombuffer(s, np.uint64) for s in group["shingles"].to_pylist()]
+        sizes = np.array([len(s) for s in sets])
+        label = np.unique(root, return_inverse=True)[1]         # of the component, so far
+        out = []
+        for i, near in _plausible_partners(group):
+            near = near[label[near] != label[i]]
+            if not len(near):
+                continue
+            their = np.concatenate([sets[j] for j in near])
+            at = np.minimum(np.searchsorted(sets[i], their), len(sets[i]) - 1)
+            same = np.add.reduceat((sets[i][at] == their).astype(np.int64), np.concatenate([[0], np.cumsum(sizes[near])[:-1]]))
+            for j in near[100 * same >= PERCENT * (sizes[i] + sizes[near] - same)].tolist():
+                if label[j] != label[i]:
+                    label[label == label[j]] = label[i]
+                    out.append((rep[i], rep[j]))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
+
+
+def _apart_links(labelled: DataFrame, info: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """Links (a, b) that connect what the links between members of one bucket but
+    two components connect."""
+    rows = _tiled(labelled).join(info, "rep").select(*_PLACE, "role", "rep", "root", "apart", "n_shingles", "bands", "bins")
+    tiled = rows.repartition(*_PLACE).sortWithinPartitions(*_PLACE)
+    asked = materialise(tiled.mapInArrow(_with_partner, _MEMBER), "partners")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups(batches, keys):
-            role, rep, root, apart, size = (np.asarray(group[c]) for c in ("role", "rep", "root", "apart", "n_shingles"))
-            bins = np.frombuffer(b"".join(group["bins"].to_pylist()), np.uint8).reshape(-1, COORDINATES)
-            bands = np.asarray(group["bands"].combine_chunks().flatten()).reshape(-1, BANDS)
-            place = int((bands[0] == group["band"][0].as_py()).argmax())
-            there = np.flatnonzero(role == 1)
-            found = []
-            for i in np.flatnonzero(role == 0):
-                # Two that are both apart meet twice; the smaller one asks.
-                fit = there[(root[there] != root[i]) & (~apart[there] | (rep[i] < rep[there]))
-                            & (100 * np.minimum(size[there], size[i]) >= PERCENT * np.maximum(size[there], size[i]))]
-                fit = fit[~(bands[fit, :place] == bands[i, :place]).any(axis=1)]
-                near = fit[(bins[fit] == bins[i]).sum(axis=1) >= AGREE]
-                if len(near):
-                    found.append((np.full(len(near), rep[i]), rep[near]))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["a", "b"])
-
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long")
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found, at = shingle_sets(field(batch, "text"), width)
+            raw = [found[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+            full = pa.array(np.diff(at) > 0)        # a repeated id can also name a text without words
+            yield pa.RecordBatch.from_arrays([field(batch, "rep").filter(full), pa.array(raw, pa.binary()).filter(full)],
+                                             ["rep", "shingles"])
+
+    # Candidates are one row per class, so each set is made once.
+    wanted = texts.withColumnRenamed("doc", "rep").join(asked.select("rep").distinct().hint("merge"), "rep", "left_semi")
+    shipped = asked.join(wanted.mapInArrow(sets, "rep long, shingles binary").hint("merge"), "rep")
+    return shipped.repartition(*_PLACE).sortWithinPartitions(*_PLACE).mapInArrow(_linked_in_tiles, "a long, b long")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:

@@ -9,13 +9,14 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from revana.llm import (chat, embedding_dedup, fingerprints, language_id, licenses, mixing, near_dedup, packing,
                         quality, queries, suffix_dedup)
-from revana.llm.common import Rolling, components
+from revana.llm.common import Rolling, components, groups
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -331,12 +332,30 @@ def test_members_apart_meet_once_and_in_bounded_tasks(spark, monkeypatch):
     bands = [[1000 * k + (0 if k in shared else i % 2 if k == 9 else i + 1) for k in range(near_dedup.BANDS)] for i in range(n)]
     info = spark.createDataFrame([(i, 100, bands[i], b"x" * near_dedup.COORDINATES) for i in range(n)],
                                  "rep long, n_shingles long, bands array<long>, bins binary")
-    rows = [(bands[i][k], i, i, i != 0 or k == 9) for i in range(n) for k in (*shared, 9)]
-    labelled = spark.createDataFrame(rows, "band long, rep long, root long, apart boolean")
-    got = [tuple(sorted(r)) for r in near_dedup._apart_pairs(labelled, info).collect()]
+    rows = [(bands[i][k], i, i, i != 0 or k == 9, 100) for i in range(n) for k in (*shared, 9)]
+    labelled = spark.createDataFrame(rows, "band long, rep long, root long, apart boolean, n_shingles long")
+    place = near_dedup._PLACE
+
+    def met(batches):
+        for group in groups(batches, place):
+            rep = group["rep"].to_numpy()
+            for i, near in near_dedup._plausible_partners(group):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), rep[i])), pa.array(rep[near])], ["a", "b"])
+
+    tiles = near_dedup._tiled(labelled).join(info, "rep").repartition(*place).sortWithinPartitions(*place)
+    got = [tuple(sorted(r)) for r in tiles.mapInArrow(met, "a long, b long").collect()]
     assert sorted(got) == [(a, b) for a in range(n) for b in range(a + 1, n)]
     largest = near_dedup._tiled(labelled).groupBy("band", "block", "tile").count().agg(F.max("count")).first()[0]
     assert largest <= 30            # about two times five, not all that are apart
+    # A tile returns fewer links than it has members, whatever the number of pairs.
+    texts = spark.createDataFrame([(i, PROSE) for i in range(n)], "doc long, text string")
+    links = near_dedup._apart_links(labelled, info, texts, 4).collect()
+    assert brute_components([(r.a, r.b) for r in links], range(n)) == dict.fromkeys(range(n), 0)
+    assert len(links) < tiles.select(*place, "rep").distinct().count() - tiles.select(*place).distinct().count() + 1
+    # Cut by shingles as well.
+    monkeypatch.setattr(near_dedup, "TILE", 1000)
+    monkeypatch.setattr(near_dedup, "TILE_SHINGLES", 1000)
+    assert near_dedup._tiled(labelled).groupBy("band", "block", "tile").count().agg(F.max("count")).first()[0] <= 36
 
 
 def test_alike_but_apart_texts_equal_all_pairs(spark, monkeypatch):
