@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_base: str | None = None
+# Paths that the innermost scope removes; None outside of scopes.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def run_dir(spark: SparkSession, name: str) -> str:
@@ -36,10 +42,54 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     size, so that it broadcasts the table only if it is really small.
     """
     path = run_dir(df.sparkSession, name)
+    if (made := _made.get()) is not None:
+        made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of ``run_dir``, in whatever store it lies."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables that are materialised inside are removed at the end.
+
+    What is made of them must be written by then. Scopes can be nested, and each
+    removes its own; threads started inside have none. Gives the list of paths.
+    """
+    made: list[str] = []
+    token = _made.set(made)
+    try:
+        yield made
+    finally:
+        _made.reset(token)
+        for path in made:
+            remove(spark, path)
+
+
+def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``operator`` with its result written and its own tables removed.
+
+    For results that are small beside the tables they are made from. The written
+    result belongs to the scope around the call, if there is one.
+    """
+    @functools.wraps(operator)
+    def run(*args, **options) -> DataFrame:
+        spark = SparkSession.active()
+        around = _made.get()
+        with scope(spark) as made:
+            result = materialise(operator(*args, **options), operator.__name__)
+            path = made.pop()
+        if around is not None:
+            around.append(path)
+        return result
+    return run
+
+
 def pack(table: DataFrame, rows_per_task: int = 10_000) -> DataFrame:
     """Fewer partitions for a small table that an iterative fit reads hundreds
     of times, each time waiting for all its tasks. Pass a written table; a large
