@@ -9,14 +9,9 @@ from revana.workspace import materialise, scope, tidy
 
 
 @pytest.fixture
-def shared(spark, tmp_path):
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    yield tmp_path
-    if before is None:
-        spark.conf.unset("spark.checkpoint.dir")
-    else:
-        spark.conf.set("spark.checkpoint.dir", before)
+def shared(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(workspace, "_local_base", str(tmp_path))
+    return tmp_path
 
 
 def test_without_a_scope_tables_stay(spark, shared):
