@@ -1,5 +1,6 @@
 """Intermediate tables are removed once what is made of them is written."""
 
+import itertools
 import os
 
 import pytest
@@ -10,7 +11,8 @@ from revana.workspace import materialise, scope, tidy
 
 @pytest.fixture
 def shared(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(workspace, "_local_base", str(tmp_path))
+    numbers = itertools.count()
+    monkeypatch.setattr(workspace, "run_dir", lambda spark, name: f"file://{tmp_path}/{name}-{next(numbers)}")
     return tmp_path
 
 
