@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from revana.workspace import materialise
+from revana.workspace import materialise, tidy
 
 SLICE = 2 << 20                       # bytes of text that one numpy step handles
 MULTIPLIER = 0x9E3779B97F4A7C15 | 1   # odd, so it has an inverse modulo 2**64
@@ -160,6 +160,7 @@ def running_sum(df: DataFrame, by: list[str], bucket: str, order: list[str | Col
 
 # ---- connected components -------------------------------------------------------
 
+@tidy
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node each node of ``edges`` (a, b) reaches.
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from revana.llm.common import components, field, groups
-from revana.workspace import materialise
+from revana.workspace import materialise, tidy
 
 THRESHOLD = 0.93
 NEIGHBOURS, ROUNDS, SETTLED = 10, 4, 0.002
@@ -288,6 +288,7 @@ def _link_counts(nodes: DataFrame, roots: DataFrame, threshold: float) -> DataFr
             .groupBy("rep").agg(F.sum("others").alias("others")))
 
 
+@tidy
 def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding",
                            label: str = "label", threshold: float = THRESHOLD) -> DataFrame:
     """(id, n_links, component_id, kept) per row.

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from revana.llm.common import field
-from revana.workspace import materialise
+from revana.workspace import materialise, tidy
 
 UNITS = 256             # a component is counted in units of 1 / UNITS
 LARGEST = 1 << 24       # and clamped to so many of them, so that scores fit 64 bits
@@ -297,6 +297,7 @@ class Search:
         return best(first.unionByName(self._round(materialise(raised, "raised"), same, most, False)))
 
 
+@tidy
 def mine(vectors: DataFrame, is_anchor: Column, id_col: str = "vec_id", label_col: str = "label",
          vec_col: str = "embedding") -> DataFrame:
     """(anchor_id, positive_id, positive_rank, rank, negative_id, positive_score,

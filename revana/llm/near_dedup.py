@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from revana.llm.common import WHITE, Rolling, components, field, groups, lower_ascii, mix, slices, utf8, word_spans
-from revana.workspace import materialise
+from revana.workspace import materialise, tidy
 
 COORDINATES, ROWS, BANDS = 512, 4, 32
 SHINGLE, PERCENT = 4, 80
@@ -183,6 +183,7 @@ def verify(texts: DataFrame, pairs: DataFrame, width: int = SHINGLE) -> DataFram
     return shipped.mapInArrow(compare, "a long, b long")
 
 
+@tidy
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", width: int = SHINGLE) -> DataFrame:
     """(id, n_shingles, component_id, kept) per row of ``docs``, by shingles of ``width`` words.
 

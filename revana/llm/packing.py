@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from revana.llm.common import field, running_sum, slices
-from revana.workspace import materialise
+from revana.workspace import materialise, tidy
 
 CAPACITY = 2048
 UNIT = 4
@@ -329,6 +329,7 @@ def assign(pieces: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY,
             .drop("slot"))
 
 
+@tidy
 def pack(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Pieces of ``docs`` (id, start, length, ids_crc32, doc_tokens) with their
     sequence_id and offset. Null and empty texts are one piece with END_ID."""

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from revana.llm.common import Rolling, field, mix, slices, utf8
-from revana.workspace import materialise
+from revana.workspace import materialise, tidy
 
 LENGTH = 200
 GRAM = 100
@@ -248,6 +248,7 @@ def _covered(rows: list[tuple]) -> pa.RecordBatch:
 
 # ---- the operator -------------------------------------------------------------------
 
+@tidy
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, h, spans): sorted, possibly overlapping [start, end) of the repeated bytes of each text.
 
@@ -335,10 +336,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the repeated passages cut out of ``text``. A character of which
-    a part was cut goes as a whole; a null text stays null."""
+    a part was cut goes as a whole, and a document of which no more than blanks is left;
+    one that was not cut stays as it is, null and empty texts included."""
     left = remove_repeats(docs, id_col, text)
-    whole = F.when(F.col("n_removed") == 0, F.col(text)).otherwise(_decoded(F.col("kept")))
-    return left.withColumn(text, whole).select(*docs.columns)
+    uncut = F.col("n_removed") == 0
+    whole = F.when(uncut, F.col(text)).otherwise(_decoded(F.col("kept")))
+    return (left.withColumn(text, whole).filter(uncut | (F.length(F.trim(text)) > 0))
+            .select(*docs.columns))
 
 
 def _decoded(raw):

@@ -2,7 +2,9 @@
 on nulls, empty and long texts, ties, repeated rows, empty tables and extra columns."""
 
 import hashlib
+import os
 import random
+import re
 import threading
 import zlib
 from collections import Counter
@@ -70,17 +72,10 @@ def test_language_held_out_and_distance(spark):
     held = [r for r in rows if r.held_out]
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 for r in rows)
     assert sum(truth[r.doc_id] == r.lang_pred for r in held) >= 0.95 * len(held)
-    train = {}
-    for i, text, lang, *_ in read("documents"):
-        if zlib.crc32(str(i).encode()) % 4 != 2:
-            train.setdefault(lang, []).append(text)
-    profiles = {lang: {g: k for k, g in enumerate(brute_profile(t, 400))} for lang, t in train.items()}
-    text = read("documents")[0][1]
-    own = brute_profile([text], 400)
-    d = {lang: sum(abs(p[g] - i) if g in p else 400 for i, g in enumerate(own)) for lang, p in profiles.items()}
-    best = min(sorted(d), key=d.get)
-    first = next(r for r in rows if r.doc_id == 0)
-    assert first.lang_pred == best and first.score == pytest.approx(1 - d[best] / (400 * len(own)))
+    want = brute_language(read("documents"), lambda i: zlib.crc32(str(i).encode()) % 4 != 2)
+    got = {r.doc_id: r for r in rows}
+    for (i, *_), (lang, score) in zip(read("documents"), want):
+        assert got[i].lang_pred == lang and got[i].score == pytest.approx(score)
 
 
 def test_language_odd_texts(spark):
@@ -601,22 +596,131 @@ def test_quality_learns_and_handles_odd_rows(spark):
 
 # ---- pipeline ---------------------------------------------------------------------------
 
-def test_pipeline_stages(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    columns = docs.columns
-    sizes = []
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        from revana.workspace import materialise
-        before = docs
-        docs = materialise(stage(spark, docs, SF), name)
-        assert docs.columns == columns
-        sizes.append(docs.count())
-        if name == "near_dedup":
-            kept = near_dedup.near_duplicates(before, width=corpus_pipeline.SHINGLE).filter("kept").count()
-            assert sizes[-1] == kept < sizes[0]
-    assert sizes[0] == 200 and sizes[2] <= sizes[1]
-    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
-    assert packed.filter("start = 0").count() == sizes[-1]
+def brute_language(rows, train):
+    """Language and score of each text, by plain out-of-place distances."""
+    texts = {}
+    for i, text, lang, *_ in rows:
+        if train(i) and lang is not None and text is not None:
+            texts.setdefault(lang, []).append(text)
+    profiles = {lang: {g: k for k, g in enumerate(brute_profile(t, 400))} for lang, t in texts.items()}
+    out = []
+    for _, text, *_ in rows:
+        own = brute_profile([text], 400) if text else []
+        if not own or not profiles:
+            out.append(("und", 0.0))
+            continue
+        d = {lang: sum(abs(p[g] - i) if g in p else 400 for i, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(sorted(d), key=d.get)
+        out.append((best, 1 - d[best] / (400 * len(own))))
+    return out
+
+
+def brute_near_copies(rows, width):
+    """The rows that stay: the first of each component by (id, null last), and those without words."""
+    def shingles(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        return {tuple(words[i:i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+    sets = [shingles(r[1]) for r in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i)
+             if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    first, out = {}, []
+    for i, c in brute_components(links, range(len(rows))).items():
+        if not sets[i]:
+            out.append(rows[i])
+        elif c not in first or (rows[i][0] is None, rows[i][0] or 0) < (first[c][0] is None, first[c][0] or 0):
+            first[c] = rows[i]
+    return [*out, *first.values()]
+
+
+def brute_passages(rows):
+    out = []
+    for row, (_, removed, _, kept) in zip(rows, brute_cut([r[1] for r in rows])):
+        text = row[1] if not removed else kept.decode(errors="ignore")
+        if not removed or text.strip(" "):
+            out.append((row[0], text, *row[2:4], None if text is None else len(text)))
+    return out
+
+
+def pipeline_rows():
+    rng = random.Random(9)
+    docs = read("documents")
+    prose = [(r[1], r[2]) for r in docs if 60 < len(r[1].split()) < 150 and r[2]][:24]
+    shared = " ".join(prose[0][0].split()[:60])
+    texts = [(t, lang) for t, lang in prose]
+    texts += [(t + " one more", lang) for t, lang in prose[:8]]                 # near copies
+    texts += [(prose[1][0], prose[1][1])] * 3                                   # copies
+    texts += [(f"{a} {shared} {b}", lang) for (a, lang), (b, _) in zip(prose[8:14], prose[14:20])]
+    texts += [("".join(rng.choice("0123456789#$%/") for _ in range(200)), "en") for _ in range(3)]
+    texts += [("".join(chr(rng.randrange(0x4e00, 0x9000)) for _ in range(80)), "en"), (None, "en"), ("", None), (" \n", None)]
+    texts += [(prose[2][0], None), ("kurz", "de")]
+    rows = []
+    for i, (text, lang) in enumerate(texts):
+        source = None if i % 11 == 5 else "hot" if i % 3 else f"s{i % 4}"
+        rows.append((None if i in (30, 33) else i, text, lang, source, None if text is None else len(text)))
+    return rows
+
+
+def test_pipeline_equals_plain_python(spark, tmp_path, monkeypatch):
+    rows = pipeline_rows()
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    made = {}
+
+    def watched(name, stage):
+        def run(spark, docs, sf_dir):
+            out = stage(spark, docs, sf_dir)
+            made[name] = sorted(map(tuple, out.collect()), key=repr)
+            return out
+        return run
+
+    plain = [(n, s) for n, s in corpus_pipeline.STAGES]
+    assert [n for n, _ in plain] == ["language_id", "near_dedup", "suffix_dedup", "mixing", "packing"]
+    before = set(os.listdir("/tmp/checkpoints")) if os.path.isdir("/tmp/checkpoints") else set()
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, watched(n, s)) for n, s in plain])
+    packed = [r.asDict() for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    if before:
+        left = {n.rsplit("-", 1)[0] for n in set(os.listdir("/tmp/checkpoints")) - before}
+        assert not left & {"sketches", "info", "candidates", "contexts", "anchors", "pieces", "language_id", "near_dedup"}
+    key = lambda r: sorted(r, key=repr)
+
+    named = brute_language(rows, lambda i: i is not None and zlib.crc32(str(i).encode()) % 4 != 2)
+    kept = [r for r, (lang, score) in zip(rows, named) if lang != "und" and score >= corpus_pipeline.LEAST_SCORE]
+    assert made["language_id"] == key(kept) and len(kept) < len(rows) - 5
+    kept = brute_near_copies(kept, corpus_pipeline.SHINGLE)
+    assert made["near_dedup"] == key(kept)
+    kept = brute_passages(kept)
+    assert made["suffix_dedup"] == key(kept)
+
+    tokens = Counter()
+    for r in kept:
+        tokens[r[3]] += len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or ""))
+    mixture = mixing.choose_mixture({str(s): n for s, n in tokens.items()})
+    used = Counter(made["mixing"])
+    assert set(used) <= set(kept)
+    for s, total in tokens.items():
+        blocks, rest = divmod(mixture.budgets[str(s)], total)
+        own = [r for r in kept if r[3] == s]
+        assert all(used[r] in (blocks, blocks + 1) for r in own)
+        more = sum(len((r[1] or "").split()) for r in own if used[r] == blocks + 1)
+        assert rest <= more < rest + max(len((r[1] or "").split()) for r in own) + 1
+    ids = {r: packing.encode(r[1]) for r in used}
+    assert Counter((r["doc_id"], r["doc_tokens"]) for r in packed if r["start"] == 0) == Counter(
+        {k: sum(n for r, n in used.items() if (r[0], len(ids[r])) == k) for k in {(r[0], len(ids[r])) for r in used}})
+    sequences = {}
+    for r in packed:
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        assert any(r["doc_id"] == d[0] and zlib.crc32(i[r["start"]:r["start"] + r["length"]]) == r["ids_crc32"] for d, i in ids.items())
+    for own in sequences.values():
+        assert [o for o, _ in sorted(own)] == np.cumsum([0, *(n for _, n in sorted(own))])[:-1].tolist()
+        assert sum(n for _, n in own) <= 2048
+    assert sum(r["length"] for r in packed) == sum(len(ids[r]) * n for r, n in used.items())
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None, None, None, None)], [(1, "a b c", "en", "s", 5)] * 3])
+def test_pipeline_of_few_rows(spark, tmp_path, rows):
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in packed} == ({1} if len(rows) == 3 else set())
 
 
 def test_near_copies_with_repeated_and_null_ids(spark):
