@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from revana.catalog.base import (BASE, STOPS, query, r6, reviews, scored_reviews, sql, tokens)
+from revana.catalog.base import (BASE, REVIEWS, STOPS, TOKENS, query, r6, reviews, scored_reviews, sql, tokens)
 from revana.functions.scores import predicted_label, true_label
+from revana.functions.wordlists import DEFAULT
 from revana.operators import evaluation, survey
+from revana.operators.dedup import dedup_first
 from revana.operators.sentiment import (fit_naive_bayes, in_bucket, score_sentiment,
                                         sentiment_distribution)
-from revana.sources.tables import default_score
-from revana.workspace import materialise
+from revana.plans.collect import collect_comments
+from revana.plans.reviews import review_study
+from revana.sources.pages import as_pages
+from revana.sources.tables import default_score, read_comments
+from revana.workspace import materialise, run_dir
 
 
 def scored(spark, sf):
@@ -49,6 +54,53 @@ _NB = [*BASE, STOPS,
     CASE WHEN s > 0.2 THEN 'positive' WHEN s < 0.05 THEN 'negative' ELSE 'neutral' END AS predicted_label
   FROM reviews r JOIN scored USING (comment_id))"""]
 
+# Collected comments: pages of 20 in seven files, every third id absent, the others
+# each twice; a comment of which no score is known has none on its page.
+_COLLECTED = [
+    REVIEWS,
+    """collected AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 'jd' ELSE concat('jd', doc_id // 2) END AS comment_id,
+    coalesce(content, '') AS content,
+    CAST(coalesce(score_raw, 0) AS DOUBLE) AS score_raw,
+    row_number() OVER (ORDER BY (doc_id // 20) % 7, doc_id // 20, doc_id DESC) - 1 AS seq FROM reviews)""",
+    """dedup AS (SELECT * EXCLUDE (rn), score_raw AS score FROM (
+    SELECT *, row_number() OVER (PARTITION BY content ORDER BY seq) AS rn FROM collected) WHERE rn = 1)""",
+    TOKENS, STOPS,
+    """kept AS (SELECT seq, score, word FROM (SELECT seq, score, unnest(tokens) AS word FROM toks)
+  WHERE word NOT IN (SELECT word FROM stops))""",
+    """counts AS (SELECT word, count(*) FILTER (WHERE score >= 4) AS pos,
+  count(*) FILTER (WHERE score < 3) AS neg FROM kept WHERE score >= 4 OR score < 3 GROUP BY word)""",
+    "totals AS (SELECT sum(pos) AS tp, sum(neg) AS tn, count(*) AS v FROM counts)",
+    "odds AS (SELECT word, ln((pos + 1) / (tp + v)) - ln((neg + 1) / (tn + v)) AS log_odds FROM counts, totals)",
+    """prior AS (SELECT ln((count(*) FILTER (WHERE score >= 4) + 1) / (count(*) FILTER (WHERE score < 3) + 1)) AS p FROM dedup)""",
+    "sums AS (SELECT seq, coalesce(sum(log_odds), 0) AS x FROM kept LEFT JOIN odds USING (word) GROUP BY seq)",
+    """scores AS (SELECT comment_id, seq, CASE WHEN x IS NULL THEN NULL
+    ELSE 1 / (1 + exp(-greatest(-700, least(700, x + p)))) END AS raw FROM dedup LEFT JOIN sums USING (seq), prior)""",
+    """scored AS (SELECT comment_id, seq, CASE WHEN raw IS NULL THEN 0.8
+    ELSE round(sqrt(raw) / (sqrt(raw) + sqrt(1 - raw)), 9) END AS s FROM scores)""",
+    """labelled AS (SELECT CASE WHEN score_raw >= 4 THEN 'positive' WHEN score_raw <= 2 THEN 'negative' ELSE 'neutral' END AS true_label,
+    CASE WHEN s > 0.2 THEN 'positive' WHEN s < 0.05 THEN 'negative' ELSE 'neutral' END AS predicted_label
+  FROM collected JOIN scored USING (comment_id))"""]
+
+
+def _collected(spark, sf):
+    """Reviews written as pages, the latest of a page first, and collected."""
+    inbox, store = run_dir(spark, "inbox"), run_dir(spark, "store")
+    records = reviews(spark, sf).select(
+        F.expr("doc_id div 20").alias("page"), F.when(F.col("doc_id") % 3 != 0, F.expr("doc_id div 2")).alias("id"),
+        "content", F.lit("t").alias("creationTime"), F.col("score_raw").alias("score"), (-F.col("doc_id")).alias("by"))
+    pages = as_pages(records, "page", order="by").withColumn("file", F.col("page") % 7)
+    (pages.repartition("file").sortWithinPartitions("file", "page").select("file", "value")
+     .write.partitionBy("file").text(inbox))
+    collect_comments(spark, inbox, store, one_per_line=True)
+    return read_comments(spark, store, seq="stored")
+
+
+@query(sql(*_COLLECTED[:3], "SELECT comment_id, content, score, seq FROM dedup"))
+def collected_reviews(spark, sf):
+    """What first-wins deduplication by the ingest sequence keeps of collected pages."""
+    return dedup_first(_collected(spark, sf), "content", "seq").select("comment_id", "content", "score", "seq")
+
+
 _LABELS = "(SELECT unnest(['positive', 'neutral', 'negative']) AS {})"
 
 
@@ -139,6 +191,21 @@ def sentiment_confusion(spark, sf):
     return matrix.withColumn("row_share", r6("row_share"))
 
 
+@query(sql(*_COLLECTED, f"""SELECT t.true_label, p.predicted_label, count(l.true_label) AS n,
+  round(count(l.true_label) / nullif(sum(count(l.true_label)) OVER (PARTITION BY t.true_label), 0), 6) AS row_share
+FROM {_LABELS.format('true_label')} t CROSS JOIN {_LABELS.format('predicted_label')} p
+LEFT JOIN labelled l ON l.true_label = t.true_label AND l.predicted_label = p.predicted_label
+GROUP BY t.true_label, p.predicted_label"""))
+def collected_confusion(spark, sf):
+    """From stored pages to the confusion matrix: collect, study in the order of
+    collection, score with a model of the clearly good and bad comments."""
+    comments = _collected(spark, sf)
+    label = F.when(F.col("score") >= 4, 1).when(F.col("score") < 3, 0)
+    study = review_study(comments.withColumn("label", label), DEFAULT, order="seq", keep=["label"])
+    pairs = study.label_pairs(study.sentiment(fit_naive_bayes(study.tokens)))
+    return evaluation.confusion_matrix(pairs, n="n").withColumn("row_share", r6("row_share"))
+
+
 @query(sql(*_NB, """SELECT round(avg(CASE WHEN true_label = predicted_label THEN 1.0 ELSE 0 END), 6) AS accuracy
 FROM labelled"""))
 def sentiment_accuracy(spark, sf):

@@ -12,6 +12,9 @@ COMMENT = T.StructType([
     T.StructField("comment_type", T.StringType()),
 ])
 
+# Place of a comment in the order of collection.
+SEQ = T.StructField("seq", T.LongType())
+
 # Everything is read as text, so that one odd value cannot spoil its page.
 PAGE = T.StructType([
     T.StructField("comments", T.ArrayType(T.StructType([

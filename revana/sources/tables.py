@@ -5,19 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from revana.functions.text import strip_controls
-from revana.schemas import COMMENT
+from revana.operators.sequence import number_rows, origin
+from revana.schemas import COMMENT, SEQ
 
 _CSV = {"header": True, "escape": '"', "encoding": "UTF-8"}
 
 
-def read_comments(spark: SparkSession, path: str, array_file: bool = False) -> DataFrame:
+def read_comments(spark: SparkSession, path: str, array_file: bool = False, seq: str | None = None) -> DataFrame:
     """Comment JSON: line files, or one JSON array per file (``array_file``).
 
     An array file is a single task; keep big stores as lines or Parquet. The
     fixed schema also supplies a ``score`` column the file does not have.
+
+    ``seq="stored"`` also reads the ingest sequence that ``collect_comments``
+    stores; ``seq="file"`` numbers the comments from 0 by file and place in it,
+    for stores without one. Either way it is column ``seq``.
     """
-    return default_score(
-        spark.read.schema(COMMENT).option("multiLine", array_file).json(path))
+    if seq not in (None, "stored", "file"):
+        raise ValueError(f"seq is 'stored' or 'file', not {seq!r}")
+    schema = COMMENT if seq != "stored" else T.StructType([*COMMENT.fields, SEQ])
+    comments = spark.read.schema(schema).option("multiLine", array_file).json(path)
+    if seq == "file":
+        comments = number_rows(comments.select("*", *origin()))
+    return default_score(comments)
 
 
 def default_score(df: DataFrame, col: str = "score", missing: float = 0) -> DataFrame:
