@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
-from revana.catalog.base import all_reviews, query, r6, scored_reviews, sql, tokens
+from revana.catalog.base import (BASE, REVIEWS, STOPS, WORDS, all_reviews, query, r6, scored_reviews, sql,
+                                 tokens)
 from revana.catalog.survey import _SPLIT, _SURVEY, _TRAIN, TARGET, stored_split
 from revana.catalog.topics import KEYWORDS, NEGATIVE, POSITIVE
 from revana.functions.scores import BAD, GOOD, comment_class
@@ -18,17 +19,47 @@ from revana.sources.stopwords import as_stopwords
 from revana.workspace import materialise, pack
 
 
+def _lda_corpora(spark, sf):
+    docs = materialise(tokens(scored_reviews(spark, sf), stop=True)
+                       .select("doc_id", "score", "tokens"), "tokens")
+    corpora = lda.build_corpora({POSITIVE: docs.filter("score = 5"), NEGATIVE: docs.filter("score < 3")})
+    return {POSITIVE: (corpora[POSITIVE], 5), NEGATIVE: (corpora[NEGATIVE], 3)}
+
+
 @query()
 def lda_topics(spark, sf):
     """Five topics of the best reviews, three of the bad ones, exclusive words."""
-    docs = materialise(tokens(scored_reviews(spark, sf), stop=True)
-                       .select("doc_id", "score", "tokens"), "tokens")
-    parts = []
-    for cls, keep, k in ((POSITIVE, "score = 5", 5), (NEGATIVE, "score < 3", 3)):
-        corpus = lda.build_corpus(docs.filter(keep))
-        parts.append(lda.fit_topics(corpus, k).terms(cls))
-        corpus.release()
-    return topics.format_topics(topics.exclusive_terms(union_all(parts)))
+    models = lda.fit_models(_lda_corpora(spark, sf))
+    return topics.format_topics(topics.exclusive_terms(union_all([m.terms(cls) for cls, m in models.items()])))
+
+
+_LDA_CLASSES = f"""classes(cls, k, keep) AS (VALUES ('{POSITIVE}', 5, 'best'), ('{NEGATIVE}', 3, 'bad'))"""
+_LDA_WORDS = """lda_words AS (
+  SELECT CASE WHEN score = 5 THEN 'best' ELSE 'bad' END AS keep, doc_id, word FROM words
+  WHERE (score = 5 OR score < 3) AND word NOT IN (SELECT word FROM stops))"""
+
+
+@query(sql(*BASE, STOPS, WORDS, _LDA_CLASSES, _LDA_WORDS, """SELECT cls, CAST(k AS INTEGER) AS topics, count(DISTINCT word) AS n_words, count(*) AS n_tokens,
+  CAST(least(50, count(DISTINCT word)) AS BIGINT) AS listed_words, CAST(0 AS BIGINT) AS shared_words,
+  CAST(k AS DOUBLE) AS weight_sum, CAST(count(*) + count(DISTINCT word) AS DOUBLE) AS mass
+FROM classes JOIN lda_words USING (keep) GROUP BY cls, k"""))
+def lda_totals(spark, sf):
+    """What the topics of ``lda_topics`` must add up to: words and tokens of each
+    class, words listed per topic, words in more than one exclusive list, weights, and the
+    topics' mass, which is every token once and the prior of every word."""
+    corpora = _lda_corpora(spark, sf)
+    rows = []
+    for cls, model in lda.fit_models(corpora).items():
+        listed = materialise(model.terms(cls), "terms")
+        exclusive = topics.exclusive_terms(listed)
+        shared = exclusive.groupBy("word").count().filter("count > 1").count()
+        per = listed.groupBy("topic").agg(F.count(F.lit(1)).alias("n")).agg(F.min("n"), F.max("n"), F.count(F.lit(1))).first()
+        sums = model.weights.select(F.posexplode("w").alias("j", "x")).groupBy("j").agg(F.sum("x").alias("x")).collect()
+        shares = sum(r.x / model.totals[r.j] for r in sums)
+        rows.append((cls, per[2], corpora[cls][0].n_words, corpora[cls][0].n_tokens, per[0] if per[0] == per[1] else -1, shared,
+                     round(shares, 6), round(sum(r.x for r in sums), 3)))
+    return spark.createDataFrame(rows, "cls string, topics int, n_words long, n_tokens long, listed_words long, "
+                                       "shared_words long, weight_sum double, mass double")
 
 
 def _classes(spark, sf):
@@ -44,22 +75,24 @@ def _classes(spark, sf):
 def lda_keywords(spark, sf):
     """Seven topics of the good comments, five of the bad ones, ten passes; stop
     words leave the lists only."""
-    parts = []
-    for (cls, docs), k in zip(_classes(spark, sf).items(), (7, 5)):
-        corpus = lda.build_corpus(docs)
-        parts.append(lda.fit_topics(corpus, k, passes=10).terms(cls))
-        corpus.release()
-    return topics.topic_keywords(union_all(parts), as_stopwords(spark, DEFAULT))
+    corpora = lda.build_corpora(_classes(spark, sf))
+    models = lda.fit_models({cls: (corpus, k) for (cls, corpus), k in zip(corpora.items(), (7, 5))}, passes=10)
+    return topics.topic_keywords(union_all([m.terms(cls) for cls, m in models.items()]), as_stopwords(spark, DEFAULT))
 
 
 @query()
 def lda_sweep(spark, sf):
     """Likelihood bound for 2 to 10 topics per class."""
-    corpora = {cls: lda.build_corpus(docs) for cls, docs in _classes(spark, sf).items()}
-    table = lda.sweep_topics(corpora)
-    for corpus in corpora.values():
-        corpus.release()
-    return table
+    return lda.sweep_topics(lda.build_corpora(_classes(spark, sf)))
+
+
+@query(sql(REVIEWS, rf"""raw AS (SELECT CASE WHEN coalesce(score_raw, 0) >= 4 THEN '{KEYWORDS[POSITIVE]}' ELSE '{KEYWORDS[NEGATIVE]}' END AS cls,
+  len(regexp_extract_all(content, '\p{{L}}+|[^\p{{L}}]')) AS n FROM reviews WHERE coalesce(score_raw, 0) <> 3)""",
+           """SELECT cls, CAST(k AS INTEGER) AS k, CAST(sum(n) AS BIGINT) AS n_tokens, true AS bound_is_negative
+FROM raw, (SELECT unnest(range(2, 11)) AS k) GROUP BY cls, k"""))
+def lda_sweep_cells(spark, sf):
+    """The cells of the sweep, their tokens and the sign of the bound."""
+    return lda_sweep(spark, sf).select("cls", "k", "n_tokens", (F.col("per_word_bound") < 0).alias("bound_is_negative"))
 
 
 def _prepared(spark, sf):
@@ -113,12 +146,27 @@ def network_support(spark, sf):
 
 @query()
 def grid_search(spark, sf):
-    """Mean accuracy of every candidate over five stratified folds."""
+    """Mean accuracy of all nine cells over five stratified folds."""
     built, train, _ = _prepared(spark, sf)
     folded = materialise(survey.stratified_folds(train, TARGET, "doc_id"), "folds")
     return tuning.tuning_table(spark, tuning.tune(folded, built, TARGET))
 
 
+@query(sql(_SURVEY, _SPLIT, _TRAIN, """cells(cell, hidden, penalty) AS (VALUES (0, '50-25', 1e-4), (1, '50-25', 1e-3), (2, '50-25', 1e-2),
+  (3, '100-50', 1e-4), (4, '100-50', 1e-3), (5, '100-50', 1e-2), (6, '50-50-25', 1e-4), (7, '50-50-25', 1e-3), (8, '50-50-25', 1e-2))""",
+           """yes AS (SELECT greatest(avg(willing), 1 - avg(willing)) AS share FROM train)""",
+           """SELECT CAST(cell AS INTEGER) AS cell, hidden, CAST(penalty AS DOUBLE) AS penalty,
+  (SELECT count(*) FROM train) AS n_scored, true AS beats_guessing FROM cells"""))
+def grid_cells(spark, sf):
+    """The cells of the search, the rows each is scored on (every training row
+    once), and whether it does better than always giving the more frequent answer."""
+    table = grid_search(spark, sf)
+    train = stored_split(spark, sf).filter("not is_test")
+    share = train.agg(F.avg(TARGET)).first()[0]
+    return table.select("cell", "hidden", "penalty", "n_scored",
+                        (F.col("mean_accuracy") > max(share, 1 - share)).alias("beats_guessing"))
+
+
 @query()
 def shapley_summary(spark, sf):
     """First ten test rows explained against the first hundred."""

@@ -115,3 +115,14 @@ def graph_edges(spark, sf):
     tokens = _stored(spark, sf)
     frequency = terms.meaningful(terms.word_frequency(tokens))
     return terms.cooccurrence_edges(tokens, frequency)
+
+
+@query(sql(*_STOPPED, _TOP30.replace("30", "5000"), """uniq AS (SELECT DISTINCT doc_id, word FROM kept
+  WHERE word IN (SELECT word FROM top5000))""", """SELECT a.word AS src, b.word AS dst,
+  2 * count(*) AS weight, count(*) AS n_docs
+FROM uniq a JOIN uniq b ON a.doc_id = b.doc_id AND a.word < b.word GROUP BY a.word, b.word"""))
+def graph_edges_5000(spark, sf):
+    """The graph of thousands of words."""
+    tokens = _stored(spark, sf)
+    frequency = terms.meaningful(terms.word_frequency(tokens))
+    return terms.cooccurrence_edges(tokens, frequency, 5000)

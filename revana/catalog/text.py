@@ -76,6 +76,15 @@ def lexicon_words(spark, sf):
     return _digest(tokenize(df, "text", "lexicon", lexicon=as_stopwords(spark, LEXICON)))
 
 
+@query(_sql_digest(r"regexp_extract_all(lower({}), '\p{{L}}+|\P{{L}}')"))
+def dictionary_words(spark, sf):
+    """A lexicon of dictionary size: all words of the texts. The longest match at
+    the start of a word is then the word."""
+    df = documents(spark, sf).withColumn("text", F.lower("text"))
+    words = word_rows(tokenize(df, "text")).distinct()
+    return _digest(tokenize(df, "text", "lexicon", lexicon=words))
+
+
 @query(sql(*BASE, f"""SELECT doc_id, len(t) AS n_tokens, array_to_string(t, ' ') AS clean_text
 FROM (SELECT doc_id, list_filter(tokens, lambda w: w NOT IN ({STOP_LIST})) AS t FROM toks)"""))
 def stopwords_removed(spark, sf):

@@ -2,61 +2,90 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from revana.functions.text import windows
 
-INLINE_WORDS = 20_000
+# Size up to which a lexicon is sent to all tasks: ten times the words of a large dictionary.
+BROADCAST_WORDS, BROADCAST_CHARS = 4_000_000, 32_000_000
+
+
+class Index:
+    """Words by their first two characters: which lengths to try, longest first."""
+
+    def __init__(self, words: list[str]):
+        lengths: dict[str, set[int]] = {}
+        for w in words:
+            lengths.setdefault(w[:2], set()).add(len(w))
+        self.words = frozenset(words)
+        self.lengths = {head: tuple(sorted(n, reverse=True)) for head, n in lengths.items()}
+
+    def cut(self, text: str) -> list[str]:
+        lengths, words = self.lengths, self.words
+        out, at, n = [], 0, len(text)
+        while at < n:
+            for size in lengths.get(text[at:at + 2], ()):
+                piece = text[at:at + size]
+                if piece in words:
+                    out.append(piece)
+                    at += size
+                    break
+            else:
+                out.append(text[at])
+                at += 1
+        return out
 
 
 def lexicon_tokens(df: DataFrame, lexicon: DataFrame, col: str = "content",
                    id_col: str = "doc_id", out: str = "tokens",
-                   inline_words: int = INLINE_WORDS) -> DataFrame:
+                   broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
     """Cut each text from left to right, at every place into the longest lexicon
-    word that starts there, or else into a single character.
+    word that starts there, or else into a single character. A null text has no tokens.
 
-    Each character is given a code for the length of the longest word that
-    starts at it. Cutting is then one regular expression over the coded text: a
-    code of n takes n characters. A lexicon of up to ``inline_words`` words
-    becomes a hash set that is probed in place, without a shuffle; a larger one
-    is joined to the substrings of the texts.
+    A lexicon of up to ``BROADCAST_WORDS`` words and ``broadcast_chars`` characters,
+    which is measured, goes to all tasks as an index by the first two characters:
+    most places need one look-up, whatever the number of words, and nothing is
+    shuffled. A larger one is joined to the substrings of the texts.
     """
     words = lexicon.select(F.col("word").alias("_w")).filter(F.length("_w") > 1).distinct()
-    max_len = words.agg(F.max(F.length("_w"))).first()[0] or 1
-    some = [r[0] for r in words.limit(inline_words + 1).collect()]
-    if len(some) <= inline_words:
-        coded = df.withColumn("_coded", _probe(F.col(col), some))
-    else:
-        coded = (df.join(_match(df, words, max_len, col, id_col), id_col, "left")
-                 .withColumn("_chars", F.regexp_extract_all(
-                     F.coalesce(F.col(col), F.lit("")), F.lit("(?s)."), F.lit(0)))
-                 .withColumn("_coded", _code_matches(max_len)).drop("_hits", "_chars"))
-    return coded.withColumn(out, _cut(F.col("_coded"), max_len)).drop("_coded")
+    size = words.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("_w")).alias("chars"), F.max(F.length("_w")).alias("longest")).first()
+    if size.n <= BROADCAST_WORDS and (size.chars or 0) <= broadcast_chars:
+        return _indexed(df, [r[0] for r in words.collect()], col, out)
+    longest = size.longest or 1
+    coded = (df.join(_match(df, words, longest, col, id_col), id_col, "left")
+             .withColumn("_chars", F.regexp_extract_all(F.coalesce(F.col(col), F.lit("")), F.lit("(?s)."), F.lit(0)))
+             .withColumn("_coded", _code_matches(longest)).drop("_hits", "_chars"))
+    return coded.withColumn(out, _cut(F.col("_coded"), longest)).drop("_coded")
 
 
-def _code(n: int) -> str:
-    return chr(0x100 + n)
+def _indexed(df: DataFrame, words: list[str], col: str, out: str) -> DataFrame:
+    shared = df.sparkSession.sparkContext.broadcast(Index(words))     # measured above
+    kept = [c for c in df.columns if c != out]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = shared.value.cut
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(col)).to_pylist()
+            tokens = pa.array([cut(t) if t else [] for t in texts], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), tokens], [*kept, out])
+
+    schema = T.StructType([*df.select(*kept).schema.fields, T.StructField(out, T.ArrayType(T.StringType()))])
+    return df.select(*kept).mapInArrow(run, schema)
 
 
 def _cut(coded: Column, max_len: int) -> Column:
+    """Coded text: a character with the code n is the first of n that belong together."""
     one_of = "|".join(f"\\x{{{0x100 + n:x}}}.(?:..){{{n - 1}}}" for n in range(1, max_len + 1))
     pieces = F.regexp_extract_all(coded, F.lit(f"(?s){one_of}"), F.lit(0))
     return F.transform(pieces, lambda p: F.when(F.length(p) == 2, F.substring(p, 2, 1)).otherwise(
         F.regexp_replace(p, "(?s).(.)", "$1")))
 
 
-def _probe(text: Column, words: list[str]) -> Column:
-    by_len: dict[int, list[str]] = {}
-    for w in words:
-        by_len.setdefault(len(w), []).append(w)
-
-    def coded(window):
-        code = F.lit(_code(1))
-        for n in sorted(by_len):
-            code = F.when(F.substring(window, 1, n).isin(by_len[n]), _code(n)).otherwise(code)
-        return F.concat(code, F.substring(window, 1, 1))
-
-    return F.array_join(F.transform(windows(text, max(by_len, default=1)), coded), "")
+def _code(n: int) -> str:
+    return chr(0x100 + n)
 
 
 def _match(df: DataFrame, words: DataFrame, max_len: int, col: str, id_col: str) -> DataFrame:

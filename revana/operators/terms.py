@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from revana.operators.products import pair_counts
 from revana.operators.tokens import word_rows
 
+FEW_WORDS = 100     # whose selections by document are few enough to be counted as arrays
+
 
 def corpus_counts(df: DataFrame, tokens: str = "tokens") -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_reviews"),
@@ -59,10 +62,13 @@ def cooccurrence_edges(df: DataFrame, frequency: DataFrame, k: int = 30,
     """Undirected edges between the ``k`` top words, ``src < dst``.
 
     ``n_docs`` is the number of documents holding both words. ``weight`` is
-    twice that, since both orders of a pair are counted.
+    twice that, since both orders of a pair are counted. For more than
+    ``FEW_WORDS`` top words the pairs are the cells of a sparse product.
     """
-    return word_pairs(df, _word_array(top_words(frequency, k)), tokens).select(
-        "src", "dst", (2 * F.col("n_docs")).alias("weight"), "n_docs")
+    top = top_words(frequency, k)
+    pairs = (word_pairs(df, _word_array(top), tokens) if k <= FEW_WORDS
+             else pair_counts(df, [r.word for r in top.select("word").collect()], tokens))
+    return pairs.select("src", "dst", (2 * F.col("n_docs")).alias("weight"), "n_docs")
 
 
 def word_pairs(df: DataFrame, words: Column, tokens: str = "tokens") -> DataFrame:

@@ -114,8 +114,12 @@ def vocabulary(df: DataFrame, tokens: str = "tokens") -> DataFrame:
     no sort of the whole vocabulary in one task. The counts are written before
     they are numbered, which reads them twice.
     """
-    words = materialise(word_rows(df, tokens=tokens)
-                        .groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
+    return number_words(word_rows(df, tokens=tokens).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+
+
+def number_words(counts: DataFrame) -> DataFrame:
+    """(word_id, word, n) of word counts, as in ``vocabulary``."""
+    words = materialise(counts, "words")
     return (hash_rank(words, F.md5("word"), "word", digits=prefix_digits(words.count()))
             .select((F.col("rank") - 1).alias("word_id"), "word", "n"))
 

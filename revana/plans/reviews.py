@@ -55,12 +55,9 @@ class ReviewStudy:
 
     def topics(self, classes=TOPIC_CLASSES, seed: int = 42, passes: int = 1) -> DataFrame:
         """Topic texts per class, each word only in its best topic."""
-        parts = []
-        for cls, keep, k in classes:
-            corpus = lda.build_corpus(self.tokens.filter(keep), id_col=self.order)
-            parts.append(lda.fit_topics(corpus, k, seed, passes).terms(cls))
-            corpus.release()
-        return topics.format_topics(topics.exclusive_terms(union_all(parts)))
+        corpora = lda.build_corpora({cls: self.tokens.filter(keep) for cls, keep, _ in classes}, id_col=self.order)
+        models = lda.fit_models({cls: (corpora[cls], k) for cls, _, k in classes}, seed, passes)
+        return topics.format_topics(topics.exclusive_terms(union_all([m.terms(cls) for cls, m in models.items()])))
 
     def write(self, folder: str, model: sentiment.NaiveBayes, fmt: str = "csv") -> None:
         """Every report as a file of its own under ``folder``."""

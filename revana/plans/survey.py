@@ -6,7 +6,6 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.tuning import CrossValidatorModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from revana.operators import attribution, evaluation, features, survey, tuning
@@ -18,13 +17,12 @@ from revana.workspace import materialise
 class SurveyStudy:
     """The tuned model, and the test rows ready for it."""
 
-    search: CrossValidatorModel
+    search: tuning.Search
     model: PipelineModel
     test: DataFrame
     target: str
     id_col: str
     seed: int
-    train: DataFrame
 
     @property
     def spark(self) -> SparkSession:
@@ -44,8 +42,8 @@ class SurveyStudy:
         return evaluation.accuracy(self.predictions(), self.target, "prediction")
 
     def parameters(self) -> DataFrame:
-        """Layer parameters of the best network, whatever candidate won the search."""
-        return tuning.layer_params(self.spark, tuning.best_network(self.search, self.train))
+        """Layer parameters of the best network."""
+        return tuning.layer_params(self.spark, tuning.final_network(self.model))
 
     def attribution(self, n_explained: int = 10, n_background: int = 100,
                     permutations: int = 2) -> DataFrame:
@@ -84,4 +82,4 @@ def survey_study(data: DataFrame, target: str, id_col: str, positive: str = surv
         survey.stratified_folds(ready, target, id_col, num_folds, seed), "folds")
     found = tuning.tune(folds, built, target, num_folds=num_folds, seed=seed, **search)
     test = features.prepare_text(rows.filter("is_test").drop("is_test"), text)
-    return SurveyStudy(found, found.bestModel, test, target, id_col, seed, folds)
+    return SurveyStudy(found, found.bestModel, test, target, id_col, seed)

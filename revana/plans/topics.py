@@ -27,16 +27,15 @@ def comment_corpora(comments: DataFrame, id_col: str = "comment_id", mode: str =
     wanted = comments.filter(F.col("comment_type").isin([c for _, c, _ in classes]))
     docs = tokenize(wanted, "content", mode, id_col=id_col, **tokenizer)
     docs = materialise(docs.select(id_col, "comment_type", "tokens"), "raw-tokens")
-    return {key: lda.build_corpus(docs.filter(F.col("comment_type") == kind), id_col=id_col)
-            for key, kind, _ in classes}
+    return lda.build_corpora({key: docs.filter(F.col("comment_type") == kind) for key, kind, _ in classes}, id_col=id_col)
 
 
 def keyword_topics(corpora: dict[str, lda.Corpus], stop: DataFrame | None = None,
                    classes=KEYWORD_CLASSES, passes: int = 10, seed: int = 42,
                    n: int = 50) -> DataFrame:
     """Rows (cls, topic_name, words)."""
-    parts = [lda.fit_topics(corpora[key], k, seed, passes).terms(key, n) for key, _, k in classes]
-    return topics.topic_keywords(union_all(parts), stop, n)
+    models = lda.fit_models({key: (corpora[key], k) for key, _, k in classes}, seed, passes)
+    return topics.topic_keywords(union_all([m.terms(key, n) for key, m in models.items()]), stop, n)
 
 
 def write_keyword_topics(comments: DataFrame, stop: DataFrame, path: str, **options) -> None:
@@ -47,9 +46,9 @@ def write_keyword_topics(comments: DataFrame, stop: DataFrame, path: str, **opti
 
 
 def topic_count_sweep(comments: DataFrame, ks: Iterable[int] = range(2, 11), passes: int = 10,
-                      seed: int = 42, parallelism: int = 8, **options) -> DataFrame:
+                      seed: int = 42, **options) -> DataFrame:
     corpora = comment_corpora(comments, **options)
-    table = lda.sweep_topics(corpora, ks, passes, seed, parallelism)
+    table = lda.sweep_topics(corpora, ks, passes, seed)
     for corpus in corpora.values():
         corpus.release()
     return table

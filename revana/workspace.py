@@ -41,11 +41,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage, survives lost executors, and gives the planner the true
     size, so that it broadcasts the table only if it is really small.
     """
-    path = run_dir(df.sparkSession, name)
+    out, path = written(df, name)
     if (made := _made.get()) is not None:
         made.append(path)
+    return out
+
+
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The written table and its path, for a caller that removes it itself."""
+    path = run_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def remove(spark: SparkSession, path: str) -> None:

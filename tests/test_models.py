@@ -210,24 +210,97 @@ def corpus(spark, sf=SF):
     return lda.build_corpus(deduplicated_tokens(spark, sf, stop=True))
 
 
-def test_lda_is_reproducible(spark):
+def test_lda_is_reproducible_on_any_number_of_partitions(spark):
     fits = []
-    for _ in range(2):
+    for n in ("8", "3"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
         c = corpus(spark)
-        fits.append(sorted(map(tuple, lda.fit_topics(c, 3).terms("x", 20).collect())))
+        fits.append(sorted((r.topic, r.word, round(r.weight, 9)) for r in lda.fit_topics(c, 3).terms("x", 20).collect()))
         c.release()
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert fits[0] == fits[1] and len(fits[0]) == 60
 
 
-def test_corpus_counts_every_token(spark):
-    from pyspark.ml.functions import vector_to_array
+def test_corpus_counts_every_token(spark, monkeypatch):
     from revana.catalog.base import deduplicated_tokens
+    monkeypatch.setattr(lda, "EDGES", (500, 1000))
     df = deduplicated_tokens(spark, SF, stop=True)
     c = corpus(spark)
-    total = c.matrix.select(F.explode(vector_to_array("features")).alias("v")).agg(F.sum("v")).first()[0]
-    assert total == df.agg(F.sum(F.size("tokens"))).first()[0] == c.words.agg(F.sum("n")).first()[0]
+    entries = c.entries()
+    assert c.blocks.count() > 10
+    assert c.n_tokens == df.agg(F.sum(F.size("tokens"))).first()[0] == entries.agg(F.sum("n")).first()[0]
+    assert entries.groupBy("word_id").agg(F.sum("n").alias("m")).join(c.words, "word_id").filter("m = n").count() == c.n_words
+    assert entries.select("block", "doc").distinct().count() == df.filter(F.size("tokens") > 0).count()
     sweep = lda.sweep_topics({"a": c}, ks=(2, 3), passes=2).collect()
-    assert [(r.k, r.log_perplexity == -r.per_word_bound, r.log_perplexity > 0) for r in sweep] == [(2, True, True), (3, True, True)]
+    assert [(r.k, r.n_tokens, r.log_perplexity == -r.per_word_bound, r.log_perplexity > 0) for r in sweep] == [
+        (2, c.n_tokens, True, True), (3, c.n_tokens, True, True)]
+    c.release()
+
+
+def test_special_functions():
+    x = np.array([1e-6, 1e-3, .1, .5, 1, 2.5, 7, 100, 1e7])
+    assert np.allclose(lda.log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-12, atol=1e-11)
+    assert np.allclose(lda.digamma(x + 1), lda.digamma(x) + 1 / x, rtol=1e-10)
+    assert lda.digamma(1.0) == pytest.approx(-0.5772156649015329, abs=1e-11)
+
+
+def plain_lda(docs, n_words, k, passes, start):
+    """Batch variational Bayes with all of the corpus in one place."""
+    weights = start
+    for _ in range(passes):
+        log_beta = lda.digamma(weights) - lda.digamma(weights.sum(axis=0) if _ else np.full(k, float(n_words)))
+        new = np.full((n_words, k), 1 / k)
+        for words, counts in docs:
+            gamma = np.full(k, 1 / k + counts.sum() / k)
+            for _step in range(lda.STEPS):
+                theta = np.exp(lda.digamma(gamma) - lda.digamma(gamma.sum()))
+                phi = theta * np.exp(log_beta[words])
+                gamma = 1 / k + ((counts / phi.sum(axis=1))[:, None] * phi).sum(axis=0)
+            phi = np.exp(lda.digamma(gamma) - lda.digamma(gamma.sum())) * np.exp(log_beta[words])
+            np.add.at(new, words, (counts / phi.sum(axis=1))[:, None] * phi)
+        weights = new
+    return weights
+
+
+def test_blocks_give_what_one_place_gives(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, [f"w{rng.randrange(30) + 15 * (i % 3)}" for _ in range(rng.randrange(0, 25))]) for i in range(60)]
+    rows += [(None, ["w1", "w2"]), (None, ["w1"]), (70, None), (71, [])]
+    df = spark.createDataFrame(rows, "doc_id long, tokens array<string>")
+    whole = lda.build_corpus(df)
+    monkeypatch.setattr(lda, "EDGES", (40, 80))
+    monkeypatch.setattr(lda, "ENTRIES", (50, 100))
+    cut = lda.build_corpus(df)
+    assert whole.blocks.count() == 1 and cut.blocks.count() > 5 and whole.n_docs == 63
+    fit = lda._Fit({"a": (whole, 3), "b": (cut, 3), "c": (cut, 2)})
+    models = fit.models(fit.run(7, 4))
+    got = {n: np.array([r.w for r in m.weights.orderBy("word_id").collect()]) for n, m in models.items()}
+    assert np.allclose(got["a"], got["b"], rtol=1e-9) and got["c"].shape == (whole.n_words, 2)
+    assert got["a"].sum() == pytest.approx(whole.n_tokens + whole.n_words)      # the prior is 1 / k per topic and word
+    assert np.allclose(got["a"].sum(axis=0), models["a"].totals)
+    docs = {}
+    for r in whole.entries().collect():
+        docs.setdefault(r.doc, []).append((r.word_id, r.n))
+    docs = [tuple(map(np.array, zip(*d))) for d in docs.values()]
+    begun = fit.blocks.filter("model = 0").select("model", "block", "words").mapInArrow(
+        lda._start(fit.sizes, fit.words_a_part, 7), lda._STATE)
+    start = np.array([r.w for r in fit.by_part(begun.filter("part >= 0"), lda._word_weights(fit.sizes),
+                                               "model int, word_id long, w array<double>").orderBy("word_id").collect()])
+    assert np.allclose(plain_lda(docs, whole.n_words, 3, 4, start), got["a"], rtol=1e-9)
+
+
+def test_bound_rises_and_topics_are_found(spark):
+    rng = random.Random(9)
+    groups = [[f"{g}{i}" for i in range(12)] for g in "abc"]
+    rows = [(i, [rng.choice(groups[i % 3]) for _ in range(40)] + ["shared"]) for i in range(90)]
+    c = lda.build_corpus(spark.createDataFrame(rows, "doc_id long, tokens array<string>"))
+    fit = lda._Fit({"m": (c, 3)})
+    bounds = [lda.likelihood_bounds(fit, fit.run(1, n))["m"] for n in (1, 4, 12)]
+    assert bounds[0] < bounds[1] < bounds[2] < 0
+    top = {}
+    for r in lda.fit_topics(c, 3, passes=30).terms("x", 12).collect():
+        top.setdefault(r.topic, set()).add(r.word[0])
+    assert sorted(map(sorted, top.values())) == [["a"], ["b"], ["c"]]
     c.release()
 
 
@@ -243,12 +316,14 @@ def small_survey(spark):
 
 @pytest.fixture(scope="module")
 def study(small_survey):
-    return survey_study(small_survey, "q", "id", hidden=((4,), (3, 2)), penalties=(0.01,), max_iter=25)
+    return survey_study(small_survey, "q", "id", hidden=((4,), (3, 2)), penalties=(0.01, 1.0), max_iter=25)
 
 
 def test_survey_study(spark, study, tmp_path):
     cells = study.candidates().collect()
-    assert [c.classifier for c in cells] == ["MultilayerPerceptronClassifier"] * 2 + ["LogisticRegression"]
+    assert [(c.hidden, c.penalty) for c in cells] == [("4", 0.01), ("4", 1.0), ("3-2", 0.01), ("3-2", 1.0)]
+    assert all(c.n_scored == 120 for c in cells)
+    assert max(c.mean_accuracy for c in cells) == cells[study.search.best].mean_accuracy > 0.6
     report = {r.label: r for r in study.report().collect()}
     assert report["macro avg"].support == 30 and report["accuracy"].f1 > 0.6
     assert study.accuracy().first().accuracy == pytest.approx(report["accuracy"].f1)
@@ -256,7 +331,7 @@ def test_survey_study(spark, study, tmp_path):
     assert {r.feature for r in phi} == {"a", "b", "c_x", "c_y", "c_z"}
     assert [r.mean_abs for r in phi] == sorted((r.mean_abs for r in phi), reverse=True)
     study.write(str(tmp_path / "out"))
-    assert spark.read.csv(str(tmp_path / "out/candidates"), header=True).count() == 3
+    assert spark.read.csv(str(tmp_path / "out/candidates"), header=True).count() == 4
 
 
 @pytest.fixture(scope="module")
@@ -283,7 +358,7 @@ def test_layer_parameters_reproduce_the_network(spark, network):
             elif r.layer == layer:
                 b[r.to_idx] = r.value
         x = x @ w + b
-        x = 1 / (1 + np.exp(-x)) if layer < len(sizes) - 1 else np.exp(x) / np.exp(x).sum()
+        x = np.maximum(x, 0) if layer < len(sizes) - 1 else np.exp(x) / np.exp(x).sum()
     assert x == pytest.approx(row.probability.toArray(), abs=1e-9)
     assert {r.sheet for r in tuning.layer_sheets(tuning.layer_params(spark, net)).collect()} >= {"Layer1_Weights", "Layer3_Biases"}
 

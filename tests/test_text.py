@@ -1,5 +1,6 @@
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,17 +53,44 @@ def lexicon_brute(t, words):
     return out
 
 
-@pytest.mark.parametrize("inline", [100, 2])
-def test_lexicon_walk(spark, inline):
+@pytest.mark.parametrize("chars", [100, 2])
+def test_lexicon_walk(spark, chars):
     rng = random.Random(1)
     words = ["ab", "abc", "bca", "cc", "好评", "不错a", "a😀", "b"]
     texts = ["".join(rng.choice("abcc😀好评不错\n") for _ in range(rng.randint(0, 60)))
              for _ in range(40)] + [None, ""]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, content string")
-    lex = spark.createDataFrame([(w,) for w in words], "word string")
+    df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id int, content string, tokens string")
+    lex = spark.createDataFrame([(w,) for w in [*words, *words, None, ""]], "word string")
     from revana.operators.lexicon import lexicon_tokens
-    got = {r.doc_id: r.tokens for r in lexicon_tokens(df, lex, inline_words=inline).collect()}
+    got = {r.doc_id: r.tokens for r in lexicon_tokens(df, lex, broadcast_chars=chars).collect()}
     assert got == {i: lexicon_brute(t, words) for i, t in enumerate(texts)}
+    nothing = lexicon_tokens(df, lex.limit(0), broadcast_chars=chars).filter("doc_id = 0").first()
+    assert nothing.tokens == list(texts[0])
+
+
+@pytest.mark.parametrize("size", [50_000, 500_000])
+def test_lexicon_of_dictionary_size(spark, size):
+    from revana.operators.lexicon import lexicon_tokens
+    rng = random.Random(size)
+    letters = [chr(0x4e00 + i) for i in range(900)]
+    words = {"".join(rng.choices(letters, k=rng.choice([2, 2, 2, 3, 3, 4, 7]))) for _ in range(size)}
+    some = sorted(words)[::97]
+    texts = ["".join(rng.choice(some) if rng.random() < 0.6 else rng.choice(letters) for _ in range(120)) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, content string")
+    lex = spark.createDataFrame(pd.DataFrame({"word": sorted(words)}))
+    found = lexicon_tokens(df, lex)
+    by_size = {n: {w for w in words if len(w) == n} for n in (7, 4, 3, 2)}
+
+    def plain(text):
+        out, at = [], 0
+        while at < len(text):
+            n = next((n for n, own in by_size.items() if text[at:at + n] in own and at + n <= len(text)), 1)
+            out.append(text[at:at + n])
+            at += n
+        return out
+
+    assert {r.doc_id: r.tokens for r in found.collect()} == {i: plain(t) for i, t in enumerate(texts)}
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
 
 
 def test_stop_words_inline_and_joined(spark, monkeypatch):
@@ -127,5 +155,6 @@ def test_graph(spark):
     assert [(r.word, r["size"]) for r in terms.cooccurrence_nodes(wf, 3).collect()] == [
         ("aa", 3), ("bb", 3), ("cc", 1)]
     assert [r.word for r in terms.meaningless(terms.word_frequency(df)).collect()] == ["z"]
-    with pytest.raises(ValueError):
-        terms.cooccurrence_edges(df, wf, 10_000)
+    # More than there are words: the cap that once raised an error here is gone.
+    every = {(r.src, r.dst): r.weight for r in terms.cooccurrence_edges(df, wf, 10_000).collect()}
+    assert every == {("aa", "bb"): 4, ("bb", "dd"): 2}
