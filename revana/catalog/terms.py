@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 
 from revana.catalog.base import (BASE, COUNTED, FREQ, STOPS, WORDS, deduplicated_tokens, query, r6,
                                  sql)
@@ -118,11 +119,15 @@ def graph_edges(spark, sf):
 
 
 @query(sql(*_STOPPED, _TOP30.replace("30", "5000"), """uniq AS (SELECT DISTINCT doc_id, word FROM kept
-  WHERE word IN (SELECT word FROM top5000))""", """SELECT a.word AS src, b.word AS dst,
-  2 * count(*) AS weight, count(*) AS n_docs
-FROM uniq a JOIN uniq b ON a.doc_id = b.doc_id AND a.word < b.word GROUP BY a.word, b.word"""))
-def graph_edges_5000(spark, sf):
-    """The graph of thousands of words."""
+  WHERE word IN (SELECT word FROM top5000))""", """edges AS (SELECT a.word AS src, b.word AS dst, count(*) AS n
+FROM uniq a JOIN uniq b ON a.doc_id = b.doc_id AND a.word < b.word GROUP BY a.word, b.word)""",
+           """SELECT src AS word, count(*) AS n_later, CAST(sum(2 * n) AS BIGINT) AS weight, max(n) AS most
+FROM edges GROUP BY src"""))
+def graph_degrees_5000(spark, sf):
+    """The graph of 5,000 words, by word: its edges to words that come later, their
+    weight, and the documents of the heaviest."""
     tokens = _stored(spark, sf)
     frequency = terms.meaningful(terms.word_frequency(tokens))
-    return terms.cooccurrence_edges(tokens, frequency, 5000)
+    edges = terms.cooccurrence_edges(tokens, frequency, 5000)
+    return edges.groupBy(F.col("src").alias("word")).agg(
+        F.count(F.lit(1)).alias("n_later"), F.sum("weight").alias("weight"), F.max("n_docs").alias("most"))
