@@ -95,13 +95,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: s
     partial block is used if the budget reaches past its start, so a source
     overshoots by less than one document. Null sources are a source of their
     own, documents without words are used as often as the permutation passes
-    them; repeated rows are ranked each, rows that are equal in all columns used
-    by the ranking are interchangeable.
+    them; repeated rows are ranked each, in the order of a hash of id and text, and rows that are
+    equal in both are interchangeable.
     """
     kept = [F.col(c) for c in docs.columns if c not in ("n_tokens", "weight", "copies", "place")]
     rows = docs.select(*kept, word_count(text).alias("n_tokens")).select(
         "*", F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("null")).alias("_source"),
-        F.xxhash64(F.lit(seed), id_col, F.length(text)).alias("_h"))
+        F.xxhash64(F.lit(seed), id_col, text).alias("_h"))
     slim = materialise(rows.select(F.col(id_col).alias("_id"), "_source", "_h", "n_tokens"), "mixing")
     sums = slim.groupBy("_source").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n"))
     found = sums.limit(MAX_SOURCES + 1).collect()

@@ -63,19 +63,22 @@ def encode(text: str | None, tokenizer: str | None = None, ranks: str | None = N
     """Ids of a text, END_ID last. Null is empty.
 
     tiktoken gives the ids that the tokenizers file gives; a text with the string
-    of a special token, and one that tiktoken's matcher gives up on, goes to the
-    tokenizers library itself.
+    of a special token, and one that overflows the stack of tiktoken's matcher (millions of
+    line breaks in a row do), goes to the tokenizers library itself.
     """
-    ids: list[int] = []
-    if text:
-        try:
-            if SPECIAL in text:
-                raise ValueError
-            ids = _ranks(ranks or _file("byte_bpe_50k.tiktoken")).encode_ordinary(text)
-        except Exception:
-            ids = _tokenizer(tokenizer or _file("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
-    ids.append(END_ID)
-    return np.array(ids, "<u4")
+    ids = None if not text or SPECIAL in text else _fast(text, ranks or _file("byte_bpe_50k.tiktoken"))
+    if text and ids is None:
+        ids = _tokenizer(tokenizer or _file("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+    return np.array([*(ids or []), END_ID], "<u4")
+
+
+def _fast(text: str, ranks: str) -> list[int] | None:
+    try:
+        return _ranks(ranks).encode_ordinary(text)
+    except BaseException as overflow:       # its class derives from no other and cannot be imported
+        if type(overflow).__name__ != "PanicException":
+            raise
+        return None
 
 
 def tokenise_and_cut(docs: DataFrame, id_col: str = "doc_id", with_ids: bool = False,

@@ -594,6 +594,30 @@ def test_quality_learns_and_handles_odd_rows(spark):
     assert len(rows) == len(ODD) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
 
 
+def test_training_rows_are_bounded_and_chosen_alike(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda starts, ids, values, labels: seen.append(np.asarray(labels).tolist()))
+    texts = [f"text number {i} " * (1 + i % 5) for i in range(300)]
+    docs = documents(spark, [*texts, *[f"hot {i}" for i in range(150)], "same", "same", None], ids=[*range(300), *[7] * 150, 8, 8, 9])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(300)] + [(7, 0, 1), (7, 0, 0), (7, 1, 1), (None, 1, 1), (5, None, 1)],
+                                   "doc_id long, quality int, toxic int").withColumn("text", F.lit("clash"))
+    everything = 300 + 1 + 2 * 150 + 1 + 1          # with a label of each kind for 7, and 8 and 9 again
+    for bound in (10_000, 100, 7, 0):
+        quality.train(docs, labels, F.lit(True), bound)
+        quality.train(docs.repartition(5), labels, F.lit(True), bound)
+        assert seen[-1] == seen[-2] and len(seen[-1]) == min(bound, everything)
+    quality.train(docs.limit(0), labels, F.lit(True))
+    quality.train(docs, labels.limit(0), F.lit(True))
+    assert seen[-2:] == [[], []]
+
+
+def test_ids_of_texts_that_overflow_the_fast_matcher():
+    text = "\n" * 3_000_000 + "x"
+    assert packing._fast(text, packing._file("byte_bpe_50k.tiktoken")) is None
+    ids = packing.encode(text)
+    assert ids[-1] == packing.END_ID and len(ids) > 2 and packing._fast("x", packing._file("byte_bpe_50k.tiktoken")) == [87]
+
+
 # ---- pipeline ---------------------------------------------------------------------------
 
 def brute_language(rows, train):
