@@ -24,7 +24,7 @@ HEADLINE = [
     "stopwords_removed", "document_terms", "word_ids", "bag_of_word_ids", "graph_edges",
     "sentiment_scores", "sentiment_confusion", "sentiment_report", "exclusive_terms",
     "topic_texts", "parsed_topics", "exact_split", "stratified_folds", "scaled_numbers",
-    "script_bigrams", "lexicon_words",
+    "script_bigrams", "lexicon_words", "dictionary_words",
 ]
 SLOW = ["lda_topics", "shapley_summary"]
 

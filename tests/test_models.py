@@ -81,6 +81,19 @@ def labelled_tokens(spark):
     return spark.createDataFrame(rows, "doc_id int, label int, tokens array<string>").cache()
 
 
+def test_medians_of_extremes_and_repeats(spark, monkeypatch):
+    monkeypatch.setattr(median, "FEW", 2)
+    inf = float("inf")
+    columns = {"a": [1.5] * 40 + [2.5] * 40, "b": [-0.0, 0.0, -1e-300, 1e-300], "c": [-inf, inf, inf], "d": [1e308, -1e308, 5e-324],
+               "e": [float(2 ** 53), float(2 ** 53 + 2)], "f": [None, float("nan")], "g": [-3.0, -2.0, -1.0, -7.0]}
+    n = max(map(len, columns.values()))
+    rows = [tuple(v[i] if i < len(v) else None for v in columns.values()) for i in range(n)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in columns)).repartition(5)
+    assert median.exact_medians(df, list(columns)) == {
+        "a": 2.0, "b": 0.0, "c": inf, "d": 5e-324, "e": float(2 ** 53 + 1) , "f": None, "g": -2.5}
+    assert median.exact_medians(df.limit(0), ["a"]) == {"a": None} and median.exact_medians(df, []) == {}
+
+
 def test_naive_bayes_agrees_with_mllib(spark, labelled_tokens):
     model = sentiment.fit_naive_bayes(labelled_tokens)
     mine = {r.doc_id: r for r in sentiment.score_sentiment(labelled_tokens, model, ["doc_id"]).collect()}
@@ -142,7 +155,7 @@ def test_folds_are_even_in_each_class(spark):
 @pytest.mark.parametrize("seed", range(6))
 def test_median_against_numpy(spark, monkeypatch, seed):
     if seed % 2:
-        monkeypatch.setattr(median, "MAX_INSIDE", 40)
+        monkeypatch.setattr(median, "FEW", 4)
     rng = random.Random(seed)
     n = rng.choice([1, 2, 999, 6000])
     cols = [[rng.gauss(0, 1) for _ in range(n)], [rng.choice([1, 1, 1, 2, 9]) for _ in range(n)],
