@@ -216,6 +216,15 @@ def test_fingerprint_query(spark):
         assert got[i].n_chars == len(text)
         assert got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
+    # Likeness against plain sets: the fingerprints of texts that Python edited.
+    halves = [t[:len(t) - len(t) // 2] + n[:len(t) // 2] for (_, t), (_, n) in zip(docs, docs[1:] + docs[:1])]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate([t for _, t in docs] + halves)], "k int, text string")
+    sets = {r.k: set(r.winnowed) for r in fingerprints.fingerprints(df).collect()}
+    n = len(docs)
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    for k, (i, _) in enumerate(docs):
+        assert got[i].near_edited == pytest.approx(like(sets[k], sets[n + k]))
+        assert got[i].near_next == pytest.approx(like(sets[k], sets[(k + 1) % n]))
 
 
 def test_a_kept_half_is_found_at_every_size(spark):
