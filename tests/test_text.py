@@ -158,3 +158,20 @@ def test_graph(spark):
     # More than there are words: the cap that once raised an error here is gone.
     every = {(r.src, r.dst): r.weight for r in terms.cooccurrence_edges(df, wf, 10_000).collect()}
     assert every == {("aa", "bb"): 4, ("bb", "dd"): 2}
+
+
+def test_large_lexicon_meets_distinct_pieces_only(spark, monkeypatch):
+    from revana.operators import lexicon
+    met = []
+    match = lexicon._match
+    monkeypatch.setattr(lexicon, "_match", lambda df, *rest: met.append(df.count()) or match(df, *rest))
+    words = ["ab", "abc", "cd", "bcd", "x\ny"]
+    texts = ["abc abcd  cd-ab", "abcd x\nyx", None, "", "zab"] * 40
+    ids = [None if i % 3 else i % 4 for i in range(len(texts))]                # ids repeat or are null
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id int, content string")
+    lex = spark.createDataFrame([(w,) for w in words], "word string")
+    for limit in (3, 0):                            # the cut pieces go to all tasks, or are joined
+        got = lexicon.lexicon_tokens(df, lex, broadcast_words=limit).collect()
+        assert sorted((str(r.doc_id), str(r.content), r.tokens) for r in got) == sorted(
+            (str(i), str(t), lexicon_brute(t, words)) for i, t in zip(ids, texts))
+    assert met == [1, 1]                            # of the pieces only "abcd" is no word
