@@ -16,7 +16,7 @@ from revana.workspace import materialise
 
 # Size up to which a lexicon is sent to all tasks: twice the words of a large dictionary.
 BROADCAST_WORDS, BROADCAST_CHARS = 1_000_000, 8_000_000
-SLICE = 1 << 40         # bytes of text that a task cuts before it hands on the tokens
+SLICE = 1 << 20         # bytes of text that a task cuts before it hands on the tokens
 PAIRS = 1 << 20         # codes of two neighbouring characters
 
 

@@ -175,3 +175,13 @@ def test_large_lexicon_meets_distinct_pieces_only(spark, monkeypatch):
         assert sorted((str(r.doc_id), str(r.content), r.tokens) for r in got) == sorted(
             (str(i), str(t), lexicon_brute(t, words)) for i, t in zip(ids, texts))
     assert met == [1, 1]                            # of the pieces only "abcd" is no word
+
+
+def test_tokens_leave_in_slices_of_bounded_text(monkeypatch):
+    import pyarrow as pa
+    from revana.operators import lexicon
+    monkeypatch.setattr(lexicon, "SLICE", 1000)
+    texts = ["é" * (i % 300) for i in range(500)] + [None, "", "a" * 5000, "b"]
+    parts = list(lexicon._slices(pa.RecordBatch.from_arrays([pa.array(texts)], ["t"]), "t"))
+    assert [t for _, part in parts for t in part] == texts and all(len(b) == len(t) > 0 for b, t in parts)
+    assert all(len(t) == 1 or sum(len((x or "").encode()) for x in t) <= 1000 for _, t in parts) and len(parts) < 200
