@@ -50,3 +50,14 @@ def test_both_plans_agree(spark, docs, monkeypatch):
     few = sorted(map(tuple, terms.cooccurrence_edges(df, frequency, 60).collect()))
     monkeypatch.setattr(terms, "FEW_WORDS", 1)
     assert few == sorted(map(tuple, terms.cooccurrence_edges(df, frequency, 60).collect()))
+
+
+def test_matrix_and_sparse_sums_agree_and_tasks_hand_on_each_row_once(spark, docs, monkeypatch):
+    df = spark.createDataFrame([(t,) for t in docs], "tokens array<string>").repartition(40)
+    words = [f"w{i}" for i in range(0, 300, 3)]
+    found = products.pair_counts(df, words)
+    assert {(r.src, r.dst): r.n_docs for r in found.collect()} == plain(docs, set(words))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Coalesce 8" in plan and "HashAggregate" not in plan.split("BroadcastExchange")[0]
+    monkeypatch.setattr(products, "DENSE", 0)
+    assert sorted(found.collect()) == sorted(products.pair_counts(df, words).collect())
