@@ -420,3 +420,12 @@ def test_registered_models(spark):
     for cls in {r.cls for r in rows}:
         words = [w for r in rows if r.cls == cls for w in r.topic_string.split(" + ")]
         assert len({w.split("*")[1] for w in words}) == len(words)
+
+
+def test_blocks_are_few_and_share_their_words(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, [f"w{int(rng.paretovariate(0.7))}" for _ in range(60)]) for i in range(400)]
+    monkeypatch.setattr(lda, "EDGES", (10, 1 << 22))
+    c = lda.build_corpus(spark.createDataFrame(rows, "doc_id long, tokens array<string>"))
+    assert 2 <= c.n_blocks <= 9 and c.n_entries < 3 * c.n_words
+    c.release()
